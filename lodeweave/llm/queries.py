@@ -71,9 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
-_CANON = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(' ', cmd_raw, ' '),
-  '([^A-Za-z0-9_])([0-9a-f]*[0-9][0-9a-f]*)', '\\1\\2', 'g'), '\\b([0-9][0-9a-f]{5,}|[a-f][0-9][0-9a-f]{4,}|[a-f]{2}[0-9][0-9a-f]{3,}|[a-f]{3}[0-9][0-9a-f]{2,}|[a-f]{4}[0-9][0-9a-f]+|[a-f]{5,}[0-9][0-9a-f]*)\\b', '0', 'g'),
-  '[0-9]+', '0', 'g'), '\\s+', ' ', 'g'))"""
+# a lower-case hexadecimal id: six or more characters, one of the first six or a later one a digit
+_HEX = "|".join(["[0-9][0-9a-f]{5,}", "[a-f][0-9][0-9a-f]{4,}", "[a-f]{2}[0-9][0-9a-f]{3,}", "[a-f]{3}[0-9][0-9a-f]{2,}", "[a-f]{4}[0-9][0-9a-f]+", "[a-f]{5,}[0-9][0-9a-f]*"])
+_CANON = rf"trim(regexp_replace(regexp_replace(regexp_replace(cmd_raw, '\b({_HEX})\b', '0', 'g'), '[0-9]+', '0', 'g'), '\s+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
