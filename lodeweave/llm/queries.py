@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.llm.docs import documented_functions
 from lodeweave.llm.mix import mix_sources
 from lodeweave.llm.near_dup import expand_pairs, near_duplicates
+from lodeweave.llm.origin import file_origins
 from lodeweave.llm.pack import pack_documents
+from lodeweave.llm.parse import checked_files, invalid_rates
 from lodeweave.llm.runs import collapse_runs
+from lodeweave.llm.secrets import credentials
 from lodeweave.llm.spans import linked_pairs, shared_share, shared_spans
 from lodeweave.llm.split import split_oversized
 from lodeweave.plans.runtime import table
@@ -24,6 +28,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("chunk_id").distinct()
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "chunks"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("chunk_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = expand_pairs(*near_duplicates(table(spark, d, "notes")))
     return pairs.select(F.col("a").alias("note_id_a"), F.col("b").alias("note_id_b"))
@@ -38,6 +50,36 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("grp").alias("workspace"), F.col("rec_id").alias("note_id"), "class_id", "links")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return checked_files(table(spark, d, "source_files")).filter("edits > 0").select("file_path").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(checked_files(table(spark, d, "source_files")), table(spark, d, "daemon_status"))
+
+
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of files that do not parse: by file and language, how many and how much text."""
+    bad = checked_files(table(spark, d, "source_files")).filter("edits > 0").select("file_path", "kind")
+    chunks = table(spark, d, "chunks").select("chunk_id", "file_path", "language", F.length("content").alias("chars")).dropDuplicates(["chunk_id"])
+    return chunks.join(bad, "file_path").groupBy("file_path", "language", "kind").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
+
+
+def p5_origins(spark: SparkSession, d: str) -> DataFrame:
+    return file_origins(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_origins(spark, d).filter("origin <> 'hand-written'").select("file_path").distinct()
+
+
+def p5_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    """What remains of chunks: chunks of hand-written files, by file."""
+    hand = p5_origins(spark, d).filter("origin = 'hand-written'").select("file_path")
+    chunks = table(spark, d, "chunks").select("chunk_id", "file_path", "language").dropDuplicates(["chunk_id"])
+    return chunks.join(hand, "file_path", "left_semi").groupBy("file_path", "language").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "episodes"))
 
@@ -46,6 +88,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_runs(spark, d).select("session_id", "first_id", "last_id")
 
 
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("origin"), F.col("chunk_id").alias("record_key"), F.col("content").alias("text"))
+    episodes = table(spark, d, "episodes").select(F.lit("episodes").alias("origin"), F.col("id").cast("string").alias("record_key"), F.col("cmd_raw").alias("text"))
+    return credentials(chunks.unionByName(episodes))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_redacted(spark, d).select("origin", "record_key", F.explode("found.line_no").alias("line_no")).distinct()
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
