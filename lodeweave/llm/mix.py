@@ -41,7 +41,7 @@ def budgets(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     total_tokens the total is the largest at which no source needs more than max_repeats times its tokens,
     with it a source's budget ends at max_repeats times its tokens.
     """
-    t = targets.filter("target_share > 0 and max_repeats >= 1").groupBy(source_name(F.col("source")).alias("source"))
+    t = targets.filter("source is not null and target_share > 0 and max_repeats >= 1").groupBy(source_name(F.col("source")).alias("source"))
     t = t.agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("long").alias("max_repeats"))
     have = docs.groupBy("source").agg(F.sum("tokens").alias("available"))
     t = small(t).join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
