@@ -205,12 +205,15 @@ def page_rank(edges: DataFrame, symbols: DataFrame, iterations: int = ITERATIONS
     ranks = nodes.join(size, "workspace").join(linked, ["workspace", "file_path"], "left")
     base = cut(ranks.select("workspace", "file_path", "_size", F.coalesce("_linked", F.lit(False)).alias("_linked")))
     ranks = base.withColumn("rank", 1 / F.col("_size"))
+    whole = Window.partitionBy("workspace")
     for i in range(iterations):
-        loose = ranks.groupBy("workspace").agg(F.sum(F.when(F.col("_linked"), 0.0).otherwise(F.col("rank"))).alias("_loose"))
+        # each round refers to the ranks before it once, so that the plan grows by one join a round
         given = links.join(ranks.select("workspace", F.col("file_path").alias("src"), "rank"), ["workspace", "src"])
         given = given.groupBy("workspace", F.col("dst").alias("file_path")).agg(F.sum(F.col("share") * F.col("rank")).alias("_in"))
-        ranks = base.join(given, ["workspace", "file_path"], "left").join(loose, "workspace")
-        new = (1 - damping) / F.col("_size") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_loose") / F.col("_size"))
+        ranks = base.join(given, ["workspace", "file_path"], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
+        # what linked files give away is what arrives; the rest of the mass, 1 in all, is that of files without links
+        ranks = ranks.withColumn("_loose", 1 - F.sum("_in").over(whole))
+        new = (1 - damping) / F.col("_size") + damping * (F.col("_in") + F.col("_loose") / F.col("_size"))
         ranks = ranks.select("workspace", "file_path", "_size", "_linked", new.alias("rank"))
         if (i + 1) % CUT_EVERY == 0:
             ranks = cut(ranks)
@@ -229,7 +232,7 @@ def identifier_hints(symbols: DataFrame, workspace: str, tokens: list[str], most
     return hits.withColumn("_t", rank).withColumn("_s", site).filter((F.col("_t") <= most_tokens) & (F.col("_s") <= sites)).select("token", "file_path", "start_line")
 
 
-def communities(links: DataFrame, rounds: int = 10, least: int = 2) -> DataFrame:
+def communities(links: DataFrame, rounds: int = 6, least: int = 2) -> DataFrame:
     """(workspace, file_path, community): label propagation over file links; groups under `least` files are left out.
 
     Ties go to the smallest label, so the result depends on the links alone.
@@ -244,8 +247,7 @@ def communities(links: DataFrame, rounds: int = 10, least: int = 2) -> DataFrame
         best = votes.groupBy("workspace", "file_path").agg(F.min_by("community", F.struct(-F.col("_w"), F.col("community"))).alias("_new"))
         turn = F.pmod(F.xxhash64("file_path") + i, F.lit(2)) == 0
         labels = labels.join(best, ["workspace", "file_path"], "left").select("workspace", "file_path", F.when(turn, F.coalesce("_new", "community")).otherwise(F.col("community")).alias("community"))
-        if (i + 1) % 5 == 0:
-            labels = cut(labels)
+        labels = cut(labels)  # each round refers to the labels before it twice
     n = labels.groupBy("workspace", "community").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     return labels.join(n.drop("_n"), ["workspace", "community"], "left_semi").select("workspace", "file_path", "community")
 

@@ -101,7 +101,7 @@ def fire(notes: DataFrame, events: DataFrame, moments: DataFrame, symbols: DataF
     below = F.when(F.col("m_file_path").startswith(root), F.substring("m_file_path", F.length(root) + 1, F.length("m_file_path"))).otherwise(F.col("m_file_path"))
 
     def holds(t: Column) -> Column:
-        none = t["path"].isNull() & t["event"].isNull() & t["symbol"].isNull() & t["semantic"].isNull() & t["command"].isNull()
+        none = t["path"].isNull() & t["event"].isNull() & t["symbol"].isNull() & ~F.coalesce(t["semantic"], F.lit(False)) & t["command"].isNull()
         glob = glob_column(t["path"])
         path = t["path"].isNull() | F.coalesce(F.regexp_like("m_file_path", glob) | F.regexp_like(below, glob), F.lit(False))
         event = t["event"].isNull() | F.coalesce(t["event"] == F.col("m_event"), F.lit(False))

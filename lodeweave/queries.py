@@ -878,13 +878,13 @@ def arcs_listed(spark, d):
     return episodes.list_arcs(episodes.arcs(e), e)
 
 
-_SESSION = "o AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY k ORDER BY at) < INTERVAL {1} THEN 0 ELSE 1 END AS b FROM {0}), g AS (SELECT *, sum(b) OVER (PARTITION BY k ORDER BY at ROWS UNBOUNDED PRECEDING) AS s FROM o)"
+_SESSION = "o AS (SELECT *, CASE WHEN tt - lag(tt) OVER (PARTITION BY k ORDER BY tt) < INTERVAL {1} THEN 0 ELSE 1 END AS b FROM {0}), g AS (SELECT *, sum(b) OVER (PARTITION BY k ORDER BY tt ROWS UNBOUNDED PRECEDING) AS s FROM o)"
 
 
 @query(
-    "WITH c AS (SELECT user_id AS k, ts AS at FROM events), "
+    "WITH c AS (SELECT user_id AS k, ts AS tt FROM events), "
     + _SESSION.format("c", "'1 hour'")
-    + " SELECT k AS user_id, epoch(date_trunc('second', min(at)))::BIGINT AS started, epoch(date_trunc('second', max(at) + INTERVAL '1 hour'))::BIGINT AS ended, count(*) AS changes FROM g GROUP BY k, s"
+    + " SELECT k AS user_id, epoch(date_trunc('second', min(tt)))::BIGINT AS started, epoch(date_trunc('second', max(tt) + INTERVAL '1 hour'))::BIGINT AS ended, count(*) AS changes FROM g GROUP BY k, s"
 )
 def debounce_sessions(spark, d):
     e = table(spark, d, "events")
@@ -892,12 +892,12 @@ def debounce_sessions(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT event_type AS k, ts AS at, user_id FROM events), "
-    + _SESSION.format("c", "'5 minutes'")
-    + " SELECT k AS event_type, epoch(date_trunc('second', min(at)))::BIGINT AS started, epoch(date_trunc('second', max(at) + INTERVAL '5 minutes'))::BIGINT AS ended, count(DISTINCT user_id)::INT AS keys FROM g GROUP BY k, s HAVING count(DISTINCT user_id) > 8"
+    "WITH c AS (SELECT event_type AS k, ts AS tt, user_id FROM events), "
+    + _SESSION.format("c", "'1 hour'")
+    + " SELECT k AS event_type, epoch(date_trunc('second', min(tt)))::BIGINT AS started, epoch(date_trunc('second', max(tt) + INTERVAL '1 hour'))::BIGINT AS ended, count(DISTINCT user_id)::INT AS keys FROM g GROUP BY k, s HAVING count(DISTINCT user_id) > 3"
 )
 def burst_detect(spark, d):
-    return sessions.bursts(table(spark, d, "events"), "user_id", "ts", "event_type", "5 minutes").withColumnRenamed("keys", "keys")
+    return sessions.bursts(table(spark, d, "events"), "user_id", "ts", "event_type", "1 hour", least=3)
 
 
 @query(
@@ -911,7 +911,7 @@ def eviction_pressure(spark, d):
     return advisor.running_pressure(calls).select("session_id", "seq", "tokens", "tool_calls", "should_evict")
 
 
-@query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens FROM documents")
+@query("SELECT doc_id, CASE WHEN text IS NOT NULL THEN greatest(1, length(text) // 4) END::INT AS tokens FROM documents")
 def token_estimate(spark, d):
     return _docs(spark, d).select("doc_id", F.when(F.col("text").isNotNull(), text.token_estimate(F.col("text"))).alias("tokens"))
 
