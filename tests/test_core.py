@@ -75,7 +75,7 @@ def test_embedding_and_search(spark):
 
 
 def test_quality(spark):
-    rows = [("import os\nimport re", "/a/x.py", "python", "window", None, 0.35), ("pass", "/a/x.py", "python", "window", None, 0.15), ("def _f(a):\n    b = 1\n    c = 2\n    return b", "/a/tests/x.py", "python", "function_definition", "_f", 0.46 * 0.8), ("x", "/a/.vscode/x.py", "python", "window", None, 0.10), ("# T\n\nab", "/a/x.md", "markdown", "section", None, 0.40)]
+    rows = [("import os\nimport re", "/a/x.py", "python", "window", None, 0.35), ("pass", "/a/x.py", "python", "window", None, 0.15), ("def _f(a):\n    b = 1\n    c = 2\n    return b", "/a/tests/x.py", "python", "function_definition", "_f", 0.46 * 0.8), ("x", "/a/.vscode/x.py", "python", "window", None, 0.10), ("# T\n\nab cd ef", "/a/x.md", "markdown", "section", None, 0.40)]
     df = spark.createDataFrame(rows, "c string, p string, l string, n string, s string, want double")
     for r in df.select("want", quality.quality_score(*[F.col(x) for x in "cplns"]).alias("got")).collect():
         assert r.got == pytest.approx(r.want)
@@ -176,7 +176,7 @@ EPISODES = [
     episode(1, 1.0, "pip install reqests", 1), episode(2, 2.0, "pip install requests", 0),
     episode(3, 3.0, "make all", 2), episode(4, 4.0, "make all", 0),
     episode(5, 5.0, "pytest tests -q", 1), episode(6, 6.0, None, None, tool="edit", file_path="a.py"), episode(7, 7.0, "pytest tests -q", 0),
-    episode(8, 8.0, "npm test", 1), episode(9, 900.0, "npm test", 0), episode(10, None, "ls", None), episode(11, 1.0, "cd /x && make z", 1, "t"), episode(12, 2.0, "cd /x && make -k z", 0, "t"), episode(13, 3.0, "x", 0, None),
+    episode(8, 8.0, "npm test", 1), episode(9, 900.0, "npm test", 0), episode(10, None, "ls", None), episode(11, 1.0, "cd /x && make z.txt", 1, "t"), episode(12, 2.0, "cd /x && make -k z.txt", 0, "t"), episode(13, 3.0, "x", 0, None),
 ]
 
 
