@@ -172,8 +172,9 @@ def _anchors(span: int, context: int):
             if end - first >= span:
                 unit = codes[first : first + period]
                 turn = min(range(period), key=lambda k: tuple(np.roll(unit, -k)))
-                p = first + turn + -(-(span // 2) // period) * period
-                inside += [(r, p), (r, p + period)]
+                half = -(-(span // 2) // period) * period
+                inside += [(r, first + turn + half + period)]
+                inside += [(r, p) for p in range(first + turn + half, end, half)]
         normal = keyed(pos, record)
         take = _sample(normal[0], normal[2], normal[1], reach)
         found = [tuple(x[take] for x in normal)]
@@ -345,12 +346,18 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     many = around.groupBy("fp").count().filter(F.col("count") > GROUP).select("fp")
     few = around.join(many, "fp", "left_anti").repartition(width, "fp").sortWithinPartitions("fp")
     links = few.mapInPandas(_compare(span), "key_a long, key_b long, start_a int, start_b int, length int")
-    wins = around.join(many, "fp").mapInPandas(_windows(span), "win long, text_key long, start int").groupBy("win", "text_key").agg(F.min("start").alias("start"))
-    wins = cut(wins)
+    held = cut(around.join(many, "fp").mapInPandas(_windows(span), "win long, text_key long, start int").dropDuplicates())
+    wins = held.groupBy("win", "text_key").agg(F.min("start").alias("start"))
     a = wins.select("win", F.col("text_key").alias("key_a"), F.col("start").alias("start_a"))
     b = wins.select("win", F.col("text_key").alias("key_b"), F.col("start").alias("start_b"))
     hot = a.join(b, "win").filter("key_a < key_b").select("key_a", "key_b", "start_a", "start_b", F.lit(span).alias("length"))
-    return records, cut(links.unionByName(hot).dropDuplicates())
+    # further places of a window in one text are paired with one other text only: they add to what is shared, but no link
+    ends = wins.groupBy("win").agg(F.min(F.struct("text_key", "start")).alias("lo"), F.max(F.struct("text_key", "start")).alias("hi")).filter("lo.text_key <> hi.text_key")
+    more = held.join(ends, "win").withColumn("first", F.col("text_key") == F.col("lo.text_key"))
+    more = more.withColumn("other", F.when(F.col("first"), F.col("hi")).otherwise(F.col("lo"))).withColumn("below", F.col("text_key") < F.col("other.text_key"))
+    pick = lambda x, y: F.when(F.col("below"), F.col(x)).otherwise(F.col(y))
+    more = more.select(pick("text_key", "other.text_key").alias("key_a"), pick("other.text_key", "text_key").alias("key_b"), pick("start", "other.start").alias("start_a"), pick("other.start", "start").alias("start_b"), F.lit(span).alias("length"))
+    return records, cut(links.unionByName(hot).unionByName(more).dropDuplicates())
 
 
 def linked_pairs(records: DataFrame, links: DataFrame) -> DataFrame:
