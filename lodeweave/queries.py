@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions import commands, text, vectors
+from lodeweave.functions import binding, commands, text, vectors
 from lodeweave.operators import advisor, catalog, chunking, episodes, graph, memory, quality, search, triggers
 from lodeweave.plans.runtime import table
 from lodeweave.sources.files import as_text
@@ -212,7 +212,7 @@ def near_dup_collapse(spark, d):
     return search.collapse_near_copies(page, "chunk_id", "content", "node_type", "place").select("chunk_id", "dup_count")
 
 
-@query(f"WITH v AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VEC0}::DOUBLE[]), 9) AS ce FROM embeddings ORDER BY ce DESC, vec_id LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY ce DESC, vec_id) AS place FROM v) SELECT vec_id, place FROM r WHERE place = 1 OR ce >= 0.02")
+@query(f"WITH v AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VEC0}::DOUBLE[]), 9) AS ce FROM embeddings ORDER BY ce DESC, vec_id LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY ce DESC, vec_id) AS place FROM v) SELECT vec_id, place::INT AS place FROM r WHERE place = 1 OR ce >= 0.02")
 def result_floor(spark, d):
     page = search.top(search.dense(table(spark, d, "embeddings"), _vec0(spark, d)).withColumn("dense", F.round("dense", 9)), "dense", "vec_id", 100)
     page = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("dense"), "vec_id")))
@@ -238,7 +238,7 @@ _ML = "list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '
 
 
 @query(
-    f"WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, content, {_ML} AS m FROM chunks) SELECT chunk_id, len(m) AS lines, len(m) = 0 OR (len(m) <= 2 AND len(array_to_string(m, ' ')) < 40) AS heading_only FROM c"
+    f"WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, content, {_ML} AS m FROM chunks) SELECT chunk_id, len(m)::INT AS lines, len(m) = 0 OR (len(m) <= 2 AND len(array_to_string(m, ' ')) < 40) AS heading_only FROM c"
 )
 def doc_predicates(spark, d):
     return _chunks(spark, d).select("chunk_id", F.size(quality.meaningful_lines(F.col("content"))).alias("lines"), quality.is_heading_only(F.col("content")).alias("heading_only"))
@@ -928,3 +928,45 @@ def status_languages(spark, d):
     s = table(spark, d, "daemon_status").dropDuplicates(["run_id", "workspace_root", "last_indexed", "phase"])
     rows = s.select(F.regexp_replace("workspace_root", "/+$", "").alias("workspace"), F.explode("languages").alias("l"))
     return rows.groupBy("workspace", F.col("l.language").alias("language")).agg(F.max("l.files").alias("files"), F.max("l.chunks").alias("chunks"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:[A-Za-z0-9_.\\-]+/)+[A-Za-z0-9_.\\-]+\\.[A-Za-z0-9]{1,6}'))), ' ') AS paths FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(?:[A-Za-z0-9_.\\-]+/)+[A-Za-z0-9_.\\-]+\\.[A-Za-z0-9]{1,6}')")
+def named_paths(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(binding.file_paths(F.col("text"))), " ").alias("paths")).filter("paths <> ''")
+
+
+@query("SELECT DISTINCT ON (note_id) note_id, length(trim(regexp_replace(user_quote, '\\s+', ' ', 'g'))) >= 12 AND contains(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')), trim(regexp_replace(user_quote, '\\s+', ' ', 'g'))) AS bound FROM notes WHERE user_quote IS NOT NULL")
+def quote_binding(spark, d):
+    n = memory.unique_notes(_notes(spark, d)).filter("user_quote is not null")
+    return n.select("note_id", memory.bind_quote(F.coalesce("content", F.lit("")), F.col("user_quote")).alias("bound"))
+
+
+@query(f"WITH {_NOTE} SELECT note_id, content FROM n WHERE content IS NOT NULL")
+def encryption_roundtrip(spark, d):
+    key = F.lit("0123456789abcdef")
+    n = memory.unique_notes(_notes(spark, d)).filter("content is not null")
+    return n.select("note_id", binding.decrypt(binding.encrypt(F.col("content"), key), key).alias("content"))
+
+
+@query()
+def request_keys(spark, d):
+    e = episodes.unique_episodes(table(spark, d, "episodes"))
+    args = F.create_map(F.lit("cwd"), F.coalesce("cwd", F.lit("")), F.lit("command"), F.coalesce("cmd_raw", F.lit("")))
+    return e.select(binding.canonical_key(F.lit("search"), args, F.lit(1)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def one_line_notes(spark, d):
+    return memory.unique_notes(_notes(spark, d)).select("note_id", binding.one_line(F.col("content"), 80).alias("line"))
+
+
+@query()
+def code_questions(spark, d):
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", binding.asks_for_code(F.substring_index("text", "\n", 1)).alias("a"))
+    return rows.select("doc_id", "a.needs_tool", "a.confidence")
+
+
+@query("SELECT workspace, coalesce(len(list_distinct(list(path) FILTER (regexp_matches(path, '/(package\\.json|pyproject\\.toml|go\\.mod|Cargo\\.toml|pom\\.xml)$')))), 0) >= 3 AS monorepo FROM source_files GROUP BY workspace")
+def monorepos(spark, d):
+    files = table(spark, d, "source_files").groupBy("workspace").agg(F.collect_set(F.when(F.col("path").rlike(r"(package\.json|\.toml|go\.(mod|work)|pom\.xml|lerna\.json|pnpm-workspace\.yaml|nx\.json|turbo\.json|WORKSPACE)$"), F.col("path"))).alias("p"))
+    return files.select("workspace", binding.is_monorepo(F.col("p")).alias("monorepo"))
