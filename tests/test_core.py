@@ -251,8 +251,8 @@ def test_binding_and_providers(spark):
     from lodeweave.functions import binding
 
     assert binding.common_span("we  must keep the order", "please keep the\norder now") == "keep the order"
-    df = spark.createDataFrame([("keep the order of all rows as they were", "do keep the order of all rows as"), ("a", None), (None, "b")], "a string, b string")
-    assert [r[0] for r in df.select(binding.auto_quote(F.col("a"), F.col("b"))).collect()] == ["keep the order of all rows as", None, None]
+    df = spark.createDataFrame([("keep the order of all the rows as they were", "do keep the order of all the rows as"), ("a", None), (None, "b")], "a string, b string")
+    assert [r[0] for r in df.select(binding.auto_quote(F.col("a"), F.col("b"))).collect()] == ["keep the order of all the rows as", None, None]
     key = lambda *kv: binding.canonical_key(F.lit("k"), F.create_map(*map(F.lit, kv)), F.lit(1))
     r = spark.range(1).select(key("a", "1", "b", "2").alias("x"), key("b", "2", "a", "1").alias("y"), key("a", "1", "b", "3").alias("z")).head()
     assert r.x == r.y != r.z
