@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions.text import code_tokens, normalized_content, query_tokens_py
 from lodeweave.functions.vectors import cosine, embed, vector
 from lodeweave.operators.quality import is_type_definition, quality_score
+from lodeweave.plans.runtime import cut
 
 # BM25+ and the priors of the order.
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -47,6 +48,7 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", n
     tokens = query_tokens_py(query)
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key), code_tokens(F.col(text)).alias("_t"))
     rows = rows.select(key, F.size("_t").alias("_dl"), *[F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(tokens)])
+    rows = cut(rows)  # a few numbers a document: the texts are read and cut into tokens once, for all that follows
     df = [F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(tokens))]
     corpus = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *df)
     rows = rows.crossJoin(F.broadcast(corpus))  # one row
