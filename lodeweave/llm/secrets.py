@@ -91,6 +91,21 @@ _BASIC = re.compile(r"basic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/])
 _USER_OPTION = re.compile(r"-u[ \t]*[\"']?[\w.@\-]+:(?P<v>[^\s\"']+)")
 _SSHPASS = re.compile(r"sshpass[ \t]+-p[ \t]*[\"']?(?P<v>[^\s\"']+)", re.I)
 _P_OPTION = re.compile(r"-p(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)")
+# Clients and the option that holds their password. The option is sought up to the end of the command.
+_CLIENT_OPTIONS = {
+    "redis-cli": r"(?:-a|--pass)(?:[ \t]|\\\n)+",
+    "mysql": r"-p(?=[^\s\"'])",
+    "mariadb": r"-p(?=[^\s\"'])",
+    "mongo": r"-p(?:[ \t]|\\\n)*",
+    "ldapsearch": r"-w(?:[ \t]|\\\n)*",
+    "sqlcmd": r"-P(?:[ \t]|\\\n)*",
+}
+_CLIENTS = {
+    c: re.compile(
+        c + r"[\w.\-]*(?=\s|\\\n)(?:\\[\s\S]|\"[^\"\n]*\"|'[^'\n]*'|(?!(?i:" + c + r"))[^\n|;&\"'\\])*?(?<=\s)(?-i:" + option + r")(?:(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)|(?P<bare>[^\s\"'`|;&<>()]+))", re.I
+    )
+    for c, option in _CLIENT_OPTIONS.items()
+}
 _DECODE = re.compile(r"(?P<v>[A-Za-z0-9+/]{12,}={0,2})[\"']?[ \t]*(?:\|[ \t]*|<<<[ \t]*)?$")
 
 
@@ -189,6 +204,7 @@ def _automaton():
     heads = {h: ("format", re.compile(p)) for h, p in _FORMATS.items()}
     heads |= {n: ("name", None) for n in _NAMES}
     heads |= {"-----begin ": ("armor", None), "-----end ": ("rest", None), "://": ("connection", None), "basic ": ("basic", None), "-u ": ("user", None), "sshpass": ("sshpass", None), "-p'": ("p", None), '-p"': ("p", None)}
+    heads |= {c: ("client", g) for c, g in _CLIENTS.items()}
     heads |= {"base64 -d": ("decode", None), "base64 --decode": ("decode", None), "ls0tls1crudjti": ("encoded", None)}
     for head, (kind, grammar) in heads.items():
         a.add_word(head, (len(head), kind, grammar))
@@ -235,6 +251,11 @@ def _read(text: str, at: int, end: int, kind: str, grammar) -> tuple[int, int, s
         m = _SSHPASS.match(text, at)
         if m and len(m["v"]) >= 4 and not _PLACEHOLDER.search(m["v"]):
             return *m.span("v"), "PASSWORD"
+    elif kind == "client":
+        m = grammar.match(text, at)
+        v = m and (m["v"] or m["bare"])
+        if m and len(v) >= 4 and not _PLACEHOLDER.search(v) and not re.fullmatch(r"--?[a-z][a-z\-]*", v) and (text[at:end].lower() == "redis-cli" or is_secret(v)):
+            return *m.span("v" if m["v"] else "bare"), "PASSWORD"
     elif kind == "decode":
         line = text.rfind("\n", 0, at) + 1
         m = _DECODE.search(text[line:at])

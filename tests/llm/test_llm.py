@@ -195,6 +195,25 @@ def test_credentials(text, lines):
         assert clean == text
 
 
+CLIENTS = [
+    ("redis-cli -a N-4zpyzUy -h h.example bind", "N-4zpyzUy"),
+    ("redis-cli\t-a\tN-4zpyzUy -h h.example", "N-4zpyzUy"),
+    ("x\nredis-cli  -h h.example \\\n   -a   'N-4zpyzUy' get k", "N-4zpyzUy"),
+    ("redis-cli -h h.example --pass N-4zpyzUy", "N-4zpyzUy"),
+    ("redis-cli -h h.example get k | redis-cli -a N-4zpyzUy set k", "N-4zpyzUy"),
+    ("mysql -u svc -pj3UROegt9AOAh db", "j3UROegt9AOAh"),
+    ("mongosh -u svc -p j3UROegt9AOAh db", "j3UROegt9AOAh"),
+    ("redis-cli -a $REDIS_PASSWORD ping; ls -a N-4zpyzUy", None),
+    ("redis-cli -h h.example get k\ngrep -a N-4zpyzUy x", None),
+    ("mongo -p 27017 db", None),
+]
+
+
+@pytest.mark.parametrize("text,value", CLIENTS)
+def test_password_options_of_clients(text, value):
+    assert [text[s:e] for s, e, _ in secrets.find_spans(text)] == [value] * (value is not None)
+
+
 def test_credentials_in_long_texts_and_tables(spark):
     for pad in (secrets.WINDOW - 700, secrets.WINDOW - 5, secrets.WINDOW + 5):
         assert len(secrets.find_spans("z " * (pad // 2) + "\npassword: aB3$xY9!qq\n" + "z " * 40000)) == 1
