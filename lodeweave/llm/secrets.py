@@ -49,8 +49,11 @@ _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nrt]|\s|[\"'+,]|: |Proc-Type|DEK-Info|ENCRYPTED)*?(?=-----END|[^A-Za-z0-9+/=\s\\\"'+,:])|(?:[A-Za-z0-9+/=\\\s]*)")
 _BODY_LINE = re.compile(r"^[ \t]*[A-Za-z0-9+/]{20,76}={0,2}[ \t]*\\?n?[ \t]*$")
 
+# Placeholders are closed forms; what a grammar cuts at white space or a quote may lack its closing mark ($(cmd, <your, $conf[).
 _PLACEHOLDER = re.compile(
-    r"^[<\[{$%@(]|[>}]$|\$\{|\{\{|^(?:null|none|nil|true|false|undefined|todo|fixme|redacted\w*|changeme\w*|change[_-]?me|replace[_-]?me|replace[_-]\w+|your[_-]\w+|my[_-]?\w*(?:password|token|secret)|insert[_-]\w+|example\w*|dummy\w*|sample\w*|test|fake\w*|secret|password|token)$"
+    r"^(?:<.*>|\[.*\]|\(.*\)|%(?-i:[A-Z][A-Z0-9_]*|[a-z][a-z0-9_]*)%|@[\w:./\-]+@|\$\$?\w+)$|^\{[^{}]*\}|\{[^{}]*\}$|^\$\(|^\$[a-z_]\w*(?:->|\[|:[a-z_])|^%\(\w+\)|\{%"
+    r"|^[<\[{(][a-z]+(?:[_.\-][a-z]+)*$|^@[a-z]+(?:_[a-z]+)*$"
+    r"|\$\{|\{\{|^(?:null|none|nil|true|false|undefined|todo|fixme|redacted\w*|changeme\w*|change[_-]?me|replace[_-]?me|replace[_-]\w+|your[_-]\w+|my[_-]?\w*(?:password|token|secret)|insert[_-]\w+|example\w*|dummy\w*|sample\w*|test|fake\w*|secret|password|token)$"
     r"|(.)\1{5,}|^[x*.\-_#0]+$|(?:your|paste|insert|enter)[_-]?(?:\w+[_-])*(?:here|key|token|password)|process\.env|os\.environ|getenv|EXAMPLE",
     re.I,
 )

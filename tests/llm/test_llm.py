@@ -214,6 +214,23 @@ def test_password_options_of_clients(text, value):
     assert [text[s:e] for s, e, _ in secrets.find_spans(text)] == [value] * (value is not None)
 
 
+MARKED = ["%cYANCP4JYSF", "@cYANCP4JYSF", "(cYANCP4JYSF", "[cYANCP4JYSF", "{cYANCP4JYSF", "cYANCP4JYSF>", "cYANCP4JYSF}", "%P5Gew%XFBMet"]
+CLOSED = ["%DB_PASSWORD1%", "@db_password1@", "@vault:node1@", "<Password1>", "[Password1]", "{Password1}", "${Password1}", "$Password1", "$(Password1)", "{{Password1}}", "%(Password1)s", "{Password1}_x"]
+
+
+@pytest.mark.parametrize("value", MARKED + CLOSED)
+def test_placeholders_are_closed_forms(value):
+    texts = [f"mysql -u svc -p'{value}' db", f"sshpass -p '{value}' ssh h", f"curl -u 'svc:{value}' h", f'password = "{value}"', f"redis-cli -a '{value}'"]
+    texts += [f"url: mysql://svc:{value}@h.example/db"] * ("@" not in value)  # a URL writes it as %40
+    for text in texts:
+        assert [text[s:e] for s, e, _ in secrets.find_spans(text)] == [value] * (value in MARKED), text
+
+
+@pytest.mark.parametrize("text", ["sshpass -p $(cat /run/x1) ssh h", "curl -u svc:<your token> h", "docker login --password $(openssl rand 9)", "SET password = @Password", 'password = "$conf["'])
+def test_placeholders_cut_before_their_closing_mark(text):
+    assert not secrets.find_spans(text)
+
+
 def test_credentials_in_long_texts_and_tables(spark):
     for pad in (secrets.WINDOW - 700, secrets.WINDOW - 5, secrets.WINDOW + 5):
         assert len(secrets.find_spans("z " * (pad // 2) + "\npassword: aB3$xY9!qq\n" + "z " * 40000)) == 1
