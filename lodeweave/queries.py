@@ -962,7 +962,7 @@ def one_line_notes(spark, d):
 
 @query()
 def code_questions(spark, d):
-    rows = _docs(spark, d).filter("text is not null").select("doc_id", binding.asks_for_code(F.substring_index("text", "\n", 1)).alias("a"))
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", binding.asks_for_code(F.col("text")).alias("a"))
     return rows.select("doc_id", "a.needs_tool", "a.confidence")
 
 
