@@ -19,8 +19,8 @@ FILE_PRIOR, CLASS_PRIOR, PURPOSE_PRIOR, TYPE_PRIOR = 0.25, 0.35, 0.9, 0.15
 LEXICAL_WEIGHT = 0.30
 LIST_DEPTH, FETCH_DEPTH = 60, 200
 LEAST_SHOWN, LEAST_SURE, SURE = 0.02, 0.30, 0.70
-SAME_BODY, MOST_COMPARED = 0.75, 3
-SEEN = 2000  # characters of a result that are reranked and compared
+SAME_BODY = 0.75
+SEEN = 2000  # characters of a result that are reranked
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "how", "what", "where", "which", "when", "does", "into", "not", "all", "use", "used"]
 
 
@@ -120,15 +120,20 @@ def docstring_key(content: Column) -> Column:
     return F.when(F.length(joined) >= 20, joined).otherwise(F.lit(""))
 
 
-def _same_body(rows: pd.DataFrame) -> pd.DataFrame:
+def _same_body(rows: pd.DataFrame, most_compared: int | None = None) -> pd.DataFrame:
     import difflib
 
     kept: list[list] = []
     for r in rows.sort_values(["place", "key"]).itertuples(index=False):
         twin = None
         if r.doc_key:
-            for k in kept[:MOST_COMPARED]:
-                if k[1].node_type == r.node_type and difflib.SequenceMatcher(None, k[1].content, r.content).ratio() >= SAME_BODY:
+            both = difflib.SequenceMatcher(None, "", r.content)
+            for k in kept[:most_compared]:
+                if k[1].node_type != r.node_type:
+                    continue
+                both.set_seq1(k[1].content)
+                # the first two are upper bounds of the third
+                if both.real_quick_ratio() >= SAME_BODY and both.quick_ratio() >= SAME_BODY and both.ratio() >= SAME_BODY:
                     twin = k
                     break
         if twin:
@@ -138,12 +143,17 @@ def _same_body(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(r.key, n) for n, r in kept], columns=["key", "dup_count"])
 
 
-def collapse_near_copies(results: DataFrame, key: str, content: str, node_type: str, place: str) -> DataFrame:
-    """results (a ranked page, so few rows) without those that share a doc block and most of their body with one before."""
-    r = results.select(F.col(key).cast("string").alias("key"), F.substring(F.col(content), 1, SEEN).alias("content"), F.coalesce(node_type, F.lit("")).alias("node_type"), F.col(place).cast("long").alias("place"), F.col("dup_count").cast("long").alias("dup_count"))
+def collapse_near_copies(results: DataFrame, key: str, content: str, node_type: str, place: str, seen: int | None = None, most_compared: int | None = None) -> DataFrame:
+    """results (a ranked page, so few rows) without those that share a doc block and most of their body with one before.
+
+    Whole contents are compared with all rows kept before, unless seen (characters of a content) or most_compared (first
+    kept rows of a doc block) limit that.
+    """
+    text = F.col(content) if seen is None else F.substring(F.col(content), 1, seen)
+    r = results.select(F.col(key).cast("string").alias("key"), text.alias("content"), F.coalesce(node_type, F.lit("")).alias("node_type"), F.col(place).cast("long").alias("place"), F.col("dup_count").cast("long").alias("dup_count"))
     r = r.withColumn("doc_key", docstring_key(F.col("content")))
     group = F.when(F.col("doc_key") != "", F.col("doc_key")).otherwise(F.concat(F.lit("\x00"), "key"))
-    kept = r.withColumn("group", group).groupBy("group").applyInPandas(_same_body, "key string, dup_count long")
+    kept = r.withColumn("group", group).groupBy("group").applyInPandas(lambda rows: _same_body(rows, most_compared), "key string, dup_count long")
     return results.drop("dup_count").join(kept.select(F.col("key").alias("_k"), "dup_count"), F.col(key).cast("string") == F.col("_k")).drop("_k")
 
 

@@ -275,3 +275,15 @@ def test_code_questions_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.needs_tool, r.confidence) for r in queries.code_questions(spark, str(tmp_path)).collect()}
     assert got == {1: (True, 0.5), 2: (False, 0.6), 3: (False, 1.0)}
+
+
+def test_near_copies_are_compared_whole_and_with_all(spark):
+    doc = '"""Licensed under the terms of the project."""\n'
+    body = [doc + "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz \n", k=150)) for i in range(4)]
+    rows = [(str(i), b, "window", i + 1, 0) for i, b in enumerate(body)] + [("copy", body[3] + "!", "window", 5, 2)]
+    head = '"""Another block that both of them share."""\n' + "".join(random.Random(9).choices("abcdefgh \n", k=2200))
+    rows += [(f"long{i}", head + "".join(random.Random(20 + i).choices("ABCDEFGH" if i else "stuvwxyz", k=9000)), "window", 6 + i, 0) for i in range(2)]
+    page = spark.createDataFrame(rows, "chunk_id string, content string, node_type string, place int, dup_count long")
+    near = lambda **limits: {r.chunk_id: r.dup_count for r in search.collapse_near_copies(page, "chunk_id", "content", "node_type", "place", **limits).collect()}
+    assert near() == {"0": 0, "1": 0, "2": 0, "3": 3, "long0": 0, "long1": 0}
+    assert near(seen=2000, most_compared=3) == {"0": 0, "1": 0, "2": 0, "3": 0, "copy": 2, "long0": 1}
