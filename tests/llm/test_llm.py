@@ -108,6 +108,24 @@ def test_valid_and_damaged_files(path):
     assert parse.check_file("a.md", b"{") is None
 
 
+DEEP = 100_000
+DEEP_FILES = [
+    ("a.json", "[" * DEEP + "]" * DEEP, False),
+    ("a.json", '{"a":' * DEEP + "[1, -2.5e3, {}, [], true]" + "}" * DEEP + "\n", False),
+    ("a.json", "[" * DEEP + "]" * (DEEP - 1), True),
+    ("a.json", "[" * DEEP + "1," + "]" * DEEP, True),
+    ("a.json", "[" * DEEP + "]" * DEEP + " 1", True),
+    ("a.json", '{"a" ' * DEEP + "1" + "}" * DEEP, True),
+    ("a.py", "x = " + "-" * DEEP + "1\n", False),
+    ("a.py", "x = (" + "-" * DEEP + "1\n", True),
+]
+
+
+@pytest.mark.parametrize("path,text,bad", DEEP_FILES)
+def test_files_nested_deeper_than_the_parsers_go(path, text, bad):
+    assert (parse.check_file(path, text.encode())[1] > 0) == bad
+
+
 def test_edit_distance_is_least():
     g = chart.Grammar({"a": "A", "b": "B", "c": "C"}, {}, {"(": {"x": "( 'a' % 'b' )?"}, "[": {}, "{": {}, "top": {"t": "( 'c' (x) )*"}})
     m = g.machines["("]["x"]
