@@ -54,11 +54,11 @@ _HEAD = re.compile(
     r"|\bgenerated (?:by|from|with|using)\b.*\b(?:do not (?:edit|modify|change)|edit\b.*\binstead|changes will be lost)|\bthis (?:file|code) (?:was|is|has been) (?:auto-?|automatically |machine[ -])?generated\b|\bmachine[ -]generated\b",
     re.I,
 )
-_COMMENT = re.compile(r"\s*(?://|/\*|\*|#|<!--|--|;|\"\"\")")
+_COMMENT = re.compile(r"\s*(?://|/\*|\*|#|<!--|--|;|[rRuU]?(?:\"\"\"|'''))")
+_BLOCK = re.compile(r"\s*(?:(/\*)|(<!--)|[rRuU]?(\"\"\"|'''))")
 _SOURCE_MAP = re.compile(r"^\s*//[#@] sourceMappingURL=", re.M)
 _TOKEN = re.compile(r"\w+")
 DATA_CHARS = 512  # what is shorter is no block of data
-HEAD_LINES = 15  # comment lines at the top in which a generator names itself
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -127,19 +127,27 @@ def by_place(path: str) -> str | None:
 
 
 def by_head(text: str) -> str | None:
-    """generated, if a comment at the top of the file says so."""
-    at = 0
-    for _ in range(HEAD_LINES):
+    """generated, if the comment at the top of the file, up to the first statement, says so."""
+    at, close = 0, ""  # close: the mark that ends the open block
+    while True:
         end = text.find("\n", at)
         line = text[at : end if end >= 0 else len(text)]
-        if line.strip() and not _COMMENT.match(line):
-            return None
-        if _HEAD.search(line):
+        inside = 0
+        if not close:
+            if line.strip() and not _COMMENT.match(line):
+                return None
+            if m := _BLOCK.match(line):
+                close, inside = "*/" if m[1] else "-->" if m[2] else m[3], m.end()
+        stop = line.find(close, inside) if close else -1
+        if _HEAD.search(line[:stop] if stop >= 0 else line):
             return "generated"
+        if stop >= 0:
+            rest, close = line[stop + len(close) :], ""
+            if rest.strip() and not _COMMENT.match(rest):
+                return None
         if end < 0:
             return None
         at = end + 1
-    return None
 
 
 def by_layout(path: str, text: str, s: dict[str, float]) -> str | None:

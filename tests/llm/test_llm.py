@@ -158,6 +158,24 @@ def test_file_origins(spark):
     assert origin.file_origins(files.limit(0), up.limit(0)).count() == 0
 
 
+BANNER = "Code generated by t v1. DO NOT EDIT."
+HEADS = [
+    ("".join(f"# licence line {i}\n" for i in range(40)) + f"# {BANNER}\nx = 1\n", "generated"),
+    (f"/*\n  Licence\n\n  {BANNER}\n*/\nint x;\n", "generated"),
+    (f'"""Licence.\n\n{BANNER}\n"""\nx = 1\n', "generated"),
+    (f"'''Licence.\n{BANNER}\n'''\nx = 1\n", "generated"),
+    (f"<!-- Licence\n{BANNER}\n-->\n<a/>\n", "generated"),
+    (f'"""Licence."""\nB = """\n{BANNER}\n"""\n', None),
+    (f'/* Licence */ char *b = "{BANNER}";\n', None),
+    (f"/*\n  Licence\n*/\nint x;\n// {BANNER}\n", None),
+]
+
+
+@pytest.mark.parametrize("text,origin_", HEADS)
+def test_whole_leading_comments_are_read(text, origin_):
+    assert origin.by_head(text) == origin_
+
+
 def test_runs_match_brute_force(spark):
     rng = random.Random(3)
     rows = []
