@@ -10,14 +10,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shapes of arguments, wrappers and display stages.
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-VERSION = r"^([vV]\d+(\.\d+)*|\d+(\.\d+){2,}([-+][0-9A-Za-z.]+)?)$"
-NUMBER = r"^-?\d+(\.\d+)?$"
-FILE_NAME = r"^[\w.\-*?]+\.\w{1,5}$"
+# The classes of arguments, the first that fits counts; wrappers, display stages and signs of the shell.
+ARGUMENT_CLASSES = [
+    ("<UUID>", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
+    ("<VERSION>", r"^([vV]\d+(\.\d+)*|\d+(\.\d+){2,}([-+][0-9A-Za-z.]+)?)$"),
+    ("<PATH>", r"/|^\.{1,2}$|^~"),
+    ("<NUM>", r"^-?\d+(\.\d+)?$"),
+    ("<PATH>", r"^[\w.\-*?]+\.\w{1,5}$"),
+]
 ASSIGNMENT = r"^[A-Za-z_][A-Za-z0-9_]*=.*$"
-WRAPPERS = {"timeout": "one", "env": "none", "nice": "niceness", "nohup": "none", "stdbuf": "flags"}
-DISPLAY = {"cat", "tail", "head"}
+#: Words by their part in a line, as one letter: between commands, between stages, and what stands before a command.
+PARTS = {"&&": ";", "||": ";", ";": ";", "|": "|", "cd": "c", "2>&1": "m", "-n": "N", "cat": "d", "tail": "d", "head": "d", "timeout": "t", "env": "w", "nohup": "w", "nice": "n", "stdbuf": "s"}
 MOST_VERB_TOKENS = 3
 VERB_WEIGHT, FLAG_WEIGHT, ARG_WEIGHT = 0.5, 0.3, 0.2
 SOFT_VERB_RATIO, SOFT_VERB_SCORE = 0.8, 0.7
@@ -57,85 +60,61 @@ def words(command: str | None) -> list[str]:
         return (command or "").split()
 
 
+_CLASSES = [(name, re.compile(pattern)) for name, pattern in ARGUMENT_CLASSES]
+_ASSIGNMENT = re.compile(ASSIGNMENT)
+# The shape of a line is a string of one letter a word (see PARTS; else - flag, = assignment, a an argument with a class,
+# x any other word); what a line stands for is read off it with these expressions.
+_LINE = re.compile(r"(?P<cds>(?:;*c[^;]?(?:;+|$))*)(?:(?:.*;)?(?P<last>[^;]+))?;*$")
+_STAGES = re.compile(r"\|*(?P<main>[^|]*?)(?P<merge>m)?(?P<more>(?:\|+[^|]+)*?)(?:\|+d[^|]*)*\|*$")
+_COMMAND = re.compile(r"(?P<before>(?:=|t.?|w|n(?:N.?)?|s[\-N]*)*+)(?P<verb>.[^a\-N]{0,%d})?" % (MOST_VERB_TOKENS - 1))
+_BEFORE = re.compile(r"t.?|nN.?|.")
+
+
 def argument_class(word: str) -> str:
-    if re.match(UUID, word):
-        return "<UUID>"
-    if re.match(VERSION, word):
-        return "<VERSION>"
-    if "/" in word or word in (".", "..") or word[:1] == "~":
-        return "<PATH>"
-    if re.match(NUMBER, word):
-        return "<NUM>"
-    return "<PATH>" if re.match(FILE_NAME, word) else word
+    return next((name for name, pattern in _CLASSES if pattern.search(word)), word)
 
 
 def argument_class_column(word: Column) -> Column:
-    return (
-        F.when(word.rlike(UUID), "<UUID>")
-        .when(word.rlike(VERSION), "<VERSION>")
-        .when(word.contains("/") | word.isin(".", "..") | word.startswith("~"), "<PATH>")
-        .when(word.rlike(NUMBER), "<NUM>")
-        .when(word.rlike(FILE_NAME), "<PATH>")
-        .otherwise(word)
-    )
+    return F.coalesce(*[F.when(word.rlike(pattern), F.lit(name)) for name, pattern in ARGUMENT_CLASSES], word)
 
 
-def _groups(ws: list[str], separators: set[str]) -> list[list[str]]:
-    out: list[list[str]] = [[]]
-    for w in ws:
-        if w in separators:
-            out.append([])
-        else:
-            out[-1].append(w)
-    return [g for g in out if g]
+def _letter(word: str) -> str:
+    if word in PARTS:
+        return PARTS[word]
+    if word.startswith("-"):
+        return "-"
+    if _ASSIGNMENT.match(word):
+        return "="
+    return "x" if argument_class(word) == word else "a"
 
 
 def normal_form(command: str | None) -> dict:
     """The command a line stands for: leading cds, wrappers and display stages taken off, the last of several counts."""
-    parts = _groups(words(command), {"&&", "||", ";"})
-    target = None
-    while parts and parts[0][0] == "cd" and len(parts[0]) < 3:
-        target = parts[0][1] if len(parts[0]) == 2 else None
-        del parts[0]
-    stages = _groups(parts[-1], {"|"}) if parts else []
-    while len(stages) > 1 and stages[-1][0] in DISPLAY:
-        stages.pop()
-    main = stages[0] if stages else []
-    if main and main[-1] == "2>&1":
-        main = main[:-1]
-    env = []
-    at = 0
-    while at < len(main):
-        w = main[at]
-        if re.match(ASSIGNMENT, w):
-            env.append(w.partition("=")[0])
-        elif w in WRAPPERS:
-            how = WRAPPERS[w]
-            if how == "one":
-                at += 1
-            elif how == "niceness" and main[at + 1 : at + 2] == ["-n"]:
-                at += 2
-            elif how == "flags":
-                while main[at + 1 : at + 2] and main[at + 1].startswith("-"):
-                    at += 1
-        else:
-            break
-        at += 1
-    main = main[at:]
-    verb = main[:1]
-    for w in main[1:]:
-        if len(verb) == MOST_VERB_TOKENS or w.startswith("-") or argument_class(w) != w:
+    ws = words(command)
+    shape = "".join(map(_letter, ws))
+    line = _LINE.match(shape)
+    cds = line["cds"].rstrip(";")
+    cd = cds.rfind(";") + 1
+    lo = max(0, line.start("last"))
+    stages = _STAGES.match(line["last"] or "")
+    main = slice(lo + stages.start("main"), lo + stages.end("main"))
+    cmd = _COMMAND.match(shape[main])
+    first = main.start + cmd.end("before")
+    verb = ws[first : first + len(cmd["verb"] or "")]
+    for k, w in enumerate(verb[1:], 1):
+        if argument_class(w) != w:
+            verb = verb[:k]
             break
-        verb.append(w)
-    rest = main[len(verb) :] + [w for s in stages[1:] for w in s]
+    more = range(lo + stages.start("more"), lo + stages.end("more"))
+    rest = [*ws[first + len(verb) : main.stop], *(ws[i] for i in more if shape[i] != "|")]
     args = [w for w in rest if not w.startswith("-")]
     return {
         "verb": " ".join(verb),
         "flags": sorted(w for w in rest if w.startswith("-")),
         "args": args,
         "arg_classes": [argument_class(w) for w in args],
-        "env_names": env,
-        "cd_target": target,
+        "env_names": [ws[m.start()].partition("=")[0] for m in _BEFORE.finditer(shape, main.start, first) if m[0] == "="],
+        "cd_target": ws[cd + 1] if len(cds) - cd == 2 else None,
     }
 
 

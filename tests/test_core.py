@@ -194,6 +194,34 @@ def test_commands_and_arcs(spark):
     assert t[0][0] == "a [x3]\nb" and t[1][0] == "" and t[2][0] == "" and "[elided 95 lines" in t[3][0]
 
 
+@pytest.mark.parametrize(
+    "line, verb, args, env, target",
+    [
+        ("cd a && cd b && make x.c", "make", ["x.c"], [], "b"),
+        ("cd a ; cd && ls", "ls", [], [], None),
+        ("cd -L a && ls", "ls", [], [], None),
+        ("make clean && npm run build all", "npm run build", ["all"], [], None),
+        ("A=1 env B=/x nice -n 5 nohup stdbuf -oL -eL python run.py", "python", ["run.py"], ["A", "B"], None),
+        ("timeout A=1 ls", "ls", [], [], None),
+        ("cat a.csv | python t.py | head -3 | cat", "cat", ["a.csv", "python", "t.py"], [], None),
+        ("A=1", "", [], ["A"], None),
+        ("2>&1 | sort", "", ["sort"], [], None),
+        ("cd a", "", [], [], "a"),
+        ("ls ; ;", "ls", [], [], None),
+        (None, "", [], [], None),
+    ],
+)
+def test_normal_forms(line, verb, args, env, target):
+    n = commands.normal_form(line)
+    assert (n["verb"], n["args"], n["env_names"], n["cd_target"]) == (verb, args, env, target)
+
+
+def test_argument_classes_agree_in_python_and_spark(spark):
+    words = ["a", "a/b", "..", "~x", "3", "-3.5", "v1", "1.2.3", "x.py", "*.c", "", "123e4567-e89b-12d3-a456-426614174000", "a b"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", commands.argument_class_column(F.col("w")).alias("c")).collect()
+    assert {r.w: r.c for r in got} == {w: commands.argument_class(w) for w in words}
+
+
 def _drain(spark, df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()
