@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.plans.runtime import shuffle_width
+from lodeweave.plans.runtime import cut, shuffle_width
 
 _RUNS = "session_id string, command string, first_id long, last_id long, n long, start_ts double, end_ts double, part int, at long, head boolean, tail boolean"
 
@@ -107,7 +107,8 @@ def collapse_runs(
     rows = rows.dropDuplicates()
     order = ["session_id", "ts", "id", "command"]
     rows = rows.repartitionByRange(shuffle_width(events.sparkSession), *order).sortWithinPartitions(*order)
-    runs = rows.mapInPandas(_local, _RUNS)
+    # written once: the bounds of range partitions come from a sample, so a second pass over the rows could see others
+    runs = cut(rows.mapInPandas(_local, _RUNS))
     inner = runs.filter(~F.col("head") & ~F.col("tail"))
     edges = runs.filter(F.col("head") | F.col("tail"))
     # at most two rows a partition: joining them in one task is bounded by the number of tasks

@@ -199,6 +199,13 @@ def test_runs_match_brute_force(spark):
         prev = key
     assert got == exp
     assert runs.collapse_runs(df.limit(0)).count() == 0
+    # partitions that are computed anew may be cut elsewhere: no result may rest on an exchange that is reused
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        again = {(r.session_id, r.first_id, r.last_id, r.run_length) for r in runs.collapse_runs(df.repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert again == exp
 
 
 KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("Ab3" * 21 + "x" for _ in range(5)) + "\n-----END RSA PRIVATE KEY-----"
