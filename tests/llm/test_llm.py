@@ -368,6 +368,50 @@ def test_shared_spans_match_brute_force(spark):
     assert spans.shared_spans(df.limit(0))[1].count() == 0
 
 
+def test_spans_in_many_records_take_few_rows(spark):
+    rng = random.Random(16)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    notice = text(150)[:600]
+    rows = [(i, text(20) + notice + text(20)) for i in range(150)] + [(200 + i, notice + text(5)) for i in range(20)]
+    records, ties = spans.shared_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ties.count() <= 16 * len(rows)  # some share a character or two beyond the notice, too
+    assert spans.linked_pairs(records, ties).count() == 170 * 169 // 2
+
+
+@pytest.mark.parametrize("group", [0, 64])
+def test_runs_and_periods_at_the_edges_of_spans(spark, monkeypatch, group):
+    """Common spans of exactly 200 characters that begin, end or lie in runs and periods of any length."""
+    rng = random.Random(group)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    monkeypatch.setattr(spans, "GROUP", group)
+    rows = []
+    for k in range(150):
+        unit = "".join(rng.choice("-=xyz") for _ in range(rng.choice([1, 1, 1, 2, 3, 4, 5, 7, 12])))
+        run = unit * 200
+        x, y = rng.choice([0, 5, 15, 17, 20, 40, 90, 120, 150, 199, 200]), rng.choice([0, 16, 17, 18, 30, 60])
+        y = min(y, 200 - x)
+        middle = word(200 - x - y)
+        if rng.random() < 0.4 and len(middle) > 60:
+            at = rng.randint(0, len(middle) - 30)
+            n = rng.choice([17, 25, 60])
+            middle = (middle[:at] + run[:n] + middle[at:])[: len(middle)]
+        span = run[len(run) - x : len(run)] + middle + run[:y]
+        more = lambda: run[: rng.randint(0, 3) * len(unit)]
+        for side in (0, 1):
+            before, after = word(1 + rng.randint(0, 60)) + "<>"[side], "<>"[side] + word(1 + rng.randint(0, 60))
+            if x and side:
+                before += run[len(run) - x - len(more()) :][: len(more())] if rng.random() < 0.5 else ""
+            rows.append((2 * k + side, before + span + after))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id_a, r.doc_id_b) for r in spans.linked_pairs(*spans.shared_spans(df)).collect()}
+    where = {}
+    for i, t in rows:
+        for p in range(len(t) - 199):
+            where.setdefault(t[p : p + 200], set()).add(i)
+    exp = {(a, b) for v in where.values() for a in v for b in v if a < b}
+    assert got == exp
+
+
 def test_queries_are_registered():
     from lodeweave.llm import queries
 
