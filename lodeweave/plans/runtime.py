@@ -43,13 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a table into the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of what came before, and
-    several later actions share one computation. The table is removed when the driver ends.
+    several later actions share one computation. The table is removed by release(), at the latest when the driver ends.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/lodeweave-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     atexit.register(_remove, spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._lodeweave_folder = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of cut() at once. Only when all that reads them has been computed, by a later cut() or an action."""
+    for df in tables:
+        _remove(df.sparkSession, df._lodeweave_folder)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,9 +65,5 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
