@@ -1,8 +1,8 @@
 """Problem 2: functions paired with their documentation.
 
-Method: comment spans and function spans are extracted independently of each other, as rows of line
-positions; an as-of interval join over a whole batch attaches to each function the nearest
-documentation comment before it (in Python the nearest string after its header), and pairs with a
+Method: comment spans and function spans of a whole text are extracted independently of each other, as rows
+of positions; one as-of interval join over a whole batch attaches to each function the nearest documentation
+comment that ends before it, in Python the nearest string statement from its body on, and pairs with a
 statement between the two are rejected. What is left is dropped if the documentation says nothing.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 FUNCTION_NODES = ("function_definition", "function_declaration", "function_item", "method_definition", "method_declaration")
 LEAST_WORDS = 4
-_ROW = 1 << 24  # positions of a batch: row * _ROW + line
+_ROW = 1 << 40  # positions of a batch: row * _ROW + place in the text
 
 # How the languages are named by extension.
 _BY_EXTENSION = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
@@ -45,8 +45,11 @@ _HEADER = {
 }
 _HEADER["typescript"] = _HEADER["javascript"]
 _DOC_LINE = {"rust": re.compile(r"^\s*(?:///(?!/)|#\[doc\s*=)"), "go": re.compile(r"^\s*//")}
-_ATTRIBUTE = re.compile(r"^\s*(?:@|#\[|#!\[|# class: )")
-_STRING = re.compile(r"[ \t]*(?:[rRuU]?)(\"\"\"|'''|\"|')")
+_ATTRIBUTE = re.compile(r"^\s*(?:@(?!interface\b)|#\[|#!\[|# class: )")
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*")
+_STRING = r"[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
+_PYTHON = re.compile(rf"(?P<blank>[ \t\f]+|\\\n|#[^\n]*)|(?P<string>{_STRING})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<end>\n|;)|(?P<colon>:)|(?P<word>\w+)|(?P<other>[^\w\s\"'#()\[\]{{}};:\\]+|[\s\S])")
+_QUOTES = re.compile(r"^[rRuU]?(\"\"\"|\'\'\'|\"|')")
 
 
 def language_of(language: str | None, path: str | None) -> str | None:
@@ -88,8 +91,8 @@ def _block(lines: list[str]) -> list[str]:
     return [re.sub(r"^\s*\*+(?!\w)", "", x) for x in text.split("\n")]
 
 
-def _before(lines: list[str], language: str) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
-    """(comment spans (first, last, text lines) in the language's form, how many statements stand before each line)."""
+def _comments(lines: list[str], language: str) -> tuple[list[tuple[int, int, list[str], int]], list[int]]:
+    """(comment spans (first, last, text lines, statements up to them) in the language's form, how many statements stand before each line)."""
     spans, statements, n, i = [], [0], 0, 0
     lone = _DOC_LINE.get(language)
     while i < len(lines):
@@ -99,10 +102,9 @@ def _before(lines: list[str], language: str) -> tuple[list[tuple[int, int, list[
             while j < len(lines) - 1 and "*/" not in lines[j][2 if j == i else 0 :]:
                 j += 1
             tail = lines[j].partition("*/")[2].strip() if j > i or s.count("*/") else ""
-            doc = s.startswith("/**") and not s.startswith("/**/") or language == "go"
-            if doc:
-                spans.append((i, j, _block(lines[i : j + 1])))
             n += bool(tail)
+            if s.startswith("/**") and not s.startswith("/**/") or language == "go":
+                spans.append((i, j, _block(lines[i : j + 1]), n))
         elif lone and lone.match(lines[i]):
             while j < len(lines) - 1 and lone.match(lines[j + 1]):
                 j += 1
@@ -111,146 +113,136 @@ def _before(lines: list[str], language: str) -> tuple[list[tuple[int, int, list[
                 m = re.match(r"^\s*#\[doc\s*=\s*r?#*\"(.*)\"#*\s*\]\s*$", x)
                 text.append(" " + m[1] if m else re.sub(r"^\s*//[/!]?", "", x))
             if not (language == "go" and all(_LINTER.match(x.strip()) for x in text)):
-                spans.append((i, j, text))
+                spans.append((i, j, text, n))
         elif language == "go" and not s:
             n += 1  # in Go documentation stands directly above
-        elif s and not s.startswith("//") and not _ATTRIBUTE.match(lines[i]):
+        elif s and _ATTRIBUTE.match(s):
+            depth = 0  # an attribute reaches to the line on which its brackets are closed
+            while True:
+                plain = _LITERAL.sub("", lines[j])
+                depth += sum(map(plain.count, "([{")) - sum(map(plain.count, ")]}"))
+                if depth <= 0 or j == len(lines) - 1:
+                    break
+                j += 1
+            if depth != 0:
+                j, n = i, n + (depth > 0)
+        elif s and not s.startswith("//"):
             n += 1
         statements += [n] * (j - i + 1)
         i = j + 1
     return spans, statements
 
 
-def _string_after(text: str, at: int) -> tuple[int, int, list[str]] | None:
-    """The string literal that begins at `at`, if the statement is nothing but it: (begin, end, lines)."""
-    m = _STRING.match(text, at)
-    if not m:
-        return None
-    q, i = m[1], m.end()
-    while True:
-        j = text.find(q, i)
-        if j < 0:
-            return None
-        k = j
-        while k > m.end() and text[k - 1] == "\\":
-            k -= 1
-        if (j - k) % 2 == 0:
-            break
-        i = j + 1
-    if len(q) == 1 and "\n" in text[m.end() : j] and not text[m.end() : j].replace("\\\n", "").count("\n") == 0:
-        return None
-    rest = text[j + len(q) :].split("\n", 1)[0].split("#")[0].strip().rstrip(";")
-    if rest and not re.match(r"^[rRuU]?[\"']", rest):
-        return None
-    return at, j + len(q), text[m.end() : j].split("\n")
-
-
-def _end_of_header(text: str, at: int) -> int:
-    """The place after the colon that ends the header of a Python function."""
-    depth, i = 0, at
-    while i < len(text):
-        c = text[i]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c in "\"'":
-            m = re.compile(re.escape(c) + r"(?:[^\\\n]|\\.)*?" + re.escape(c)).match(text, i)
-            i = m.end() - 1 if m else i
-        elif c == "#":
-            i = text.find("\n", i)
-            if i < 0:
-                return len(text)
-        elif c == ":" and depth == 0:
-            return i + 1
-        i += 1
-    return len(text)
-
-
 _NAME = r"(?!(?:if|for|while|switch|catch|return|function|new)\b)(?P<name>[A-Za-z_$][\w$]*)"
 _HEADERS = {k: re.compile(v.replace("{name}", _NAME), re.M) for k, v in _HEADER.items()}
 
 
-def _find_header(text: str, language: str, symbol: str | None) -> re.Match | None:
-    """The header of the function named symbol, or of the first function."""
-    header = _HEADERS[language]
-    if not symbol:
-        return header.search(text)
-    at = text.find(symbol)
-    while at >= 0:
-        m = header.match(text, text.rfind("\n", 0, at) + 1)
-        if m and m["name"] == symbol:
-            return m
-        at = text.find(symbol, at + len(symbol))
-    return None
-
-
-_OUT = "chunk_id string, workspace string, file_path string, language string, symbol_name string, code string, description string, words int"
-
-
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        rows = rows.reset_index(drop=True)
-        functions, comments = [], []
-        for i, r in enumerate(rows.itertuples(index=False)):
-            language = language_of(r.language, r.file_path)
-            if language not in _HEADER:
-                continue
-            text = r.content.replace("\r\n", "\n")
-            m = _find_header(text, language, r.symbol_name)
-            if not m:
-                continue
-            if language == "python":
-                end = _end_of_header(text, m.end() - 1)
-                # statements are counted by characters here: the first thing after the header that is neither blank nor comment
-                body = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n|[ \t]+(?=\S))*").match(text, end).end()
-                functions.append((i * _ROW + 1, i, m.start(), body, language))
-                found = _string_after(text, body)
-                if found:
-                    comments.append((i * _ROW + 2, i, found, 0))
-            else:
-                head = text[: m.start()].split("\n")[:-1] if m.start() else []
-                spans, statements = _before(head, language)
-                at = len(head)
-                functions.append((i * _ROW + at, i, m.start(), statements[-1], language))
-                comments += [(i * _ROW + b, i, (a, b, t), statements[b + 1]) for a, b, t in spans]
-        if not functions:
+def _bracketed(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
+    """Functions (name, its line, its header's place, statements before) and comments (line after it, first, last, lines, statements before)."""
+    lines = text.split("\n")
+    spans, statements = _comments(lines, language)
+    functions, line, at = [], 0, 0
+    for m in _HEADERS[language].finditer(text):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        functions.append((m["name"], line, at, statements[line]))
+    return functions, [(last + 1, first, last, words, n) for first, last, words, n in spans]
+
+
+def _python(text: str) -> tuple[list[tuple], list[tuple]]:
+    """Functions (name, place of the body, place of the header, statements before the body) and string statements (place, place, end, lines, statements before)."""
+    functions, strings = [], []
+    depth = begun = 0
+    fresh, header, held = True, None, None  # held: a string that is a statement if nothing follows it
+    for m in _PYTHON.finditer(text):
+        kind = m.lastgroup
+        if kind == "blank":
+            continue
+        if kind == "end":
+            if depth == 0:
+                if held:
+                    strings.append(held)
+                fresh, header, held = True, None, None
             continue
-        left = pd.DataFrame(functions, columns=["pos", "row", "header", "mark", "language"]).sort_values("pos")
-        right = pd.DataFrame(comments, columns=["pos", "of", "span", "statements"]).astype({"pos": "int64", "of": "int64"}).sort_values("pos", kind="stable")
-        out = []
-        for python, direction in ((True, "forward"), (False, "backward")):
-            some = left[(left["language"] == "python") == python]
-            if some.empty or right.empty:
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth = max(0, depth - 1)
+        if fresh:
+            fresh = False
+            if kind == "string":
+                if q := _QUOTES.match(m[0]):
+                    held = (m.start(), m.start(), m.end(), m[0][q.end() : len(m[0]) - len(q[1])].split("\n"), begun)
+            elif kind == "word" and m[0] in ("def", "async"):
+                line = text.rfind("\n", 0, m.start()) + 1
+                header = _HEADERS["python"].match(text, line) if not text[line : m.start()].strip() else None
+            begun += 1
+        elif kind == "colon" and depth == 0 and header:
+            functions.append((header["name"], m.end(), header.start(), begun))
+            fresh, header = True, None
+        elif kind != "string" or not held:  # of joined literals the first stands for all
+            held = None
+    if held:
+        strings.append(held)
+    return functions, strings
+
+
+def _own(functions: list[tuple], symbol: str | None) -> list[tuple]:
+    """The function named symbol; without a symbol the first one."""
+    return [f for f in functions if not symbol or f[0] == symbol][:1]
+
+
+_OUT = "chunk_id string, workspace string, file_path string, language string, symbol_name string, function_name string, code string, description string, words int"
+
+
+def _run(every: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            functions, comments, texts = [], [], {}
+            for i, r in enumerate(rows.itertuples(index=False)):
+                language = language_of(r.language, r.file_path)
+                if language not in _HEADER:
+                    continue
+                text = texts[i] = r.content.replace("\r\n", "\n")
+                python = language == "python"
+                found, spans = _python(text) if python else _bracketed(text, language)
+                for name, at, header, n in found if every else _own(found, r.symbol_name):
+                    functions.append((i * _ROW + at, i, n, name, header, language, python))
+                comments += [(i * _ROW + at, i, n, (first, last, words), python) for at, first, last, words, n in spans]
+            if not functions or not comments:
                 continue
-            near = pd.merge_asof(some, right, on="pos", direction=direction, tolerance=_ROW - 1)
-            near = near[near["of"] == near["row"]]
-            for x in near.itertuples(index=False):
-                r = rows.iloc[x.row]
-                text = r["content"].replace("\r\n", "\n")
-                first, last, lines = x.span
-                if python:
-                    if first != x.mark:
-                        continue
-                    code = text[x.header : first].rstrip() + text[last:]
-                    lines = [lines[0].strip(), *lines[1:]]
-                else:
-                    if x.statements != x.mark:  # a statement stands between them
-                        continue
-                    head = text[: x.header].split("\n")[:-1] if x.header else []
-                    code = "\n".join([y for y in head[last + 1 :] if not y.startswith("# class: ")] + [text[x.header :]])
-                description, words = plain_text(lines, r["symbol_name"])
-                if words >= LEAST_WORDS:
-                    out.append((r["chunk_id"], r["workspace"], r["file_path"], x.language, r["symbol_name"], code, description, words))
-        if out:
-            yield pd.DataFrame(out, columns=["chunk_id", "workspace", "file_path", "language", "symbol_name", "code", "description", "words"])
-
-
-def documented_functions(chunks: DataFrame) -> DataFrame:
+            left = pd.DataFrame(functions, columns=["pos", "row", "statements", "name", "header", "language", "python"]).sort_values("pos", kind="stable")
+            right = pd.DataFrame(comments, columns=["pos", "row", "before", "span", "python"]).sort_values("pos", kind="stable")
+            out = []
+            for python, direction in ((True, "forward"), (False, "backward")):
+                some, spans = left[left["python"] == python], right[right["python"] == python]
+                if some.empty or spans.empty:
+                    continue
+                near = pd.merge_asof(some, spans.drop(columns="python"), on="pos", by="row", direction=direction)
+                near = near[near["before"] == near["statements"]]  # else a statement stands between them
+                for x in near.itertuples(index=False):
+                    r, text = rows.iloc[x.row], texts[x.row]
+                    first, last, lines = x.span
+                    if python:
+                        code = text[x.header : first].rstrip() + text[last:]
+                        lines = [lines[0].strip(), *lines[1:]]
+                    else:
+                        head = text[: x.header].split("\n")[:-1] if x.header else []
+                        code = "\n".join([y for y in head[last + 1 :] if not y.startswith("# class: ")] + [text[x.header :]])
+                    description, words = plain_text(lines, x.name if every else r["symbol_name"])
+                    if words >= LEAST_WORDS:
+                        out.append((r["chunk_id"], r["workspace"], r["file_path"], x.language, r["symbol_name"], x.name, code, description, words))
+            if out:
+                yield pd.DataFrame(out, columns=["chunk_id", "workspace", "file_path", "language", "symbol_name", "function_name", "code", "description", "words"])
+
+    return run
+
+
+def documented_functions(chunks: DataFrame, every: bool = False) -> DataFrame:
     """Code and description of every function or method chunk that is documented in its language's own form.
 
-    Result: chunk_id, workspace, file_path, language, symbol_name, code (without the documentation), description, words
-    (those of the description besides the symbol's own). The forms: Python docstrings, /** */ in Java, JavaScript,
+    Result: chunk_id, workspace, file_path, language, symbol_name, function_name, code (without the documentation),
+    description, words (those of the description besides the symbol's own). A chunk counts by the function of its
+    symbol_name; with every=True each function of each text gives a row of its own. The forms: Python docstrings, /** */ in Java, JavaScript,
     TypeScript and Rust, /// and #[doc] in Rust, any comment of words directly above in Go. Documentation with fewer than
     four words after comment marks, tag lines, TODO and FIXME and the words of symbol_name are taken away gives no row,
     nor do code in comments, linter directives and rulers. Chunks with NULL or empty content, of other node types, of
@@ -260,4 +252,4 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
     """
     cols = ["chunk_id", "workspace", "file_path", "language", "symbol_name", "content"]
     rows = chunks.filter(F.col("node_type").isin(*FUNCTION_NODES) & (F.length("content") > 0)).select(cols)
-    return rows.mapInPandas(_run, _OUT).dropDuplicates(["chunk_id", "code", "description"])
+    return rows.mapInPandas(_run(every), _OUT).dropDuplicates(["chunk_id", "function_name", "code", "description"])

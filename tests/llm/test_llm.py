@@ -58,6 +58,17 @@ def test_documented_functions(spark):
     assert docs.documented_functions(spark.createDataFrame([], CHUNK)).count() == 0
 
 
+def test_functions_of_a_text_find_their_own_documentation(spark):
+    py = 'class A:\n    """Holds all of the rows there are."""\n    def f(self, a={"x": [1]}) -> dict[str, int]:  # a:\n        # note\n\n        r"""Moves the oldest rows out."""\n        x = ("""Not a docstring of anything here.""")\n        def g(): "Takes one row at a time."\n    @dec(a, """No documentation of this one.""")\n    def h(self):\n        pass\n        """Comes after a statement of it."""\n'
+    js = '/** Moves the oldest rows out. */\n@dec({\n  a: ")",\n})\nasync f(a) {\n  /** Takes one row at a time. */\n  const g = (b) => b;\n}\n/** Stands before a statement only. */\nlet x = 1;\nfunction h() {}\n'
+    rs = '/// Moves the oldest rows out.\n#[cfg(all(\n  a,\n))]\npub fn f() {}\n\n/// Takes one row at a time.\nfn g() {}\nfn h() {}\n'
+    rows = [chunk("py", py, "function_definition"), chunk("js", js, "method_definition", "javascript"), chunk("rs", rs, "function_item", "rust")]
+    df = spark.createDataFrame(rows, CHUNK)
+    got = {(r.chunk_id, r.function_name, r.description) for r in docs.documented_functions(df, every=True).collect()}
+    assert got == {(c, f, d) for c in ("py", "js", "rs") for f, d in (("f", "Moves the oldest rows out."), ("g", "Takes one row at a time."))}
+    assert {(r.chunk_id, r.function_name) for r in docs.documented_functions(df).collect()} == {("py", "f"), ("js", "f"), ("rs", "f")}
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
