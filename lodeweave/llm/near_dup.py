@@ -3,9 +3,10 @@
 Method: records become sets of words; a pair is found if |A and B| / |A or B| >= t. Sets are put
 into size-banded tiles: one tile per (group, size band, word of the set's prefix), where the prefix
 holds the |A| - ceil(t |A|) + 1 rarest words, so that every pair over the threshold meets in the
-tile of at least one word. Within a tile hashed bitmap signatures bound the overlap from above:
-popcount(a xor b) <= |A xor B|, hence |A and B| <= (|A| + |B| - popcount) / 2. Pairs that pass are
-intersected exactly. No pair over the threshold can be lost, whatever the word order or signature.
+tile of the first word they have in common. A set that may have partners in the next smaller band is its
+guest. Within a tile, sorted by size, the place of the word in both sets and then hashed bitmap signatures
+bound the overlap from above: popcount(a xor b) <= |A xor B|, hence |A and B| <= (|A| + |B| - popcount) / 2.
+Pairs that pass are intersected exactly. No pair over the threshold can be lost, whatever the word order or signature.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.plans.runtime import cut, shuffle_width
+from lodeweave.plans.runtime import cut, release, shuffle_width, small
 
 #: Words are ordered by a count sketch of this fixed size (as broadcast to each executor: 4 bytes a cell).
 SKETCH_CELLS = 1 << 18
 SIGNATURE_WORDS = 4  # 64-bit words of a bitmap signature
+BAND = 4  # a band reaches over so many steps of the threshold: of four sets about one is a guest, too
 TILE_ROWS = 2000  # a larger tile is compared in blocks of this size, each pair of blocks in its own task
 
 
@@ -42,8 +44,8 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
 
 def _tiles(sketch, num: int, den: int):
-    """Rows of a set: one for each prefix word in its own band, and one as a guest of the next smaller band."""
-    ratio = np.log(den / num) if num < den else 1.0
+    """Rows of a set: one for each prefix word in its own band, and one as a guest of the next smaller band if it may have partners there."""
+    step = np.log(den / num) if num < den else 1.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = sketch.value
@@ -60,17 +62,22 @@ def _tiles(sketch, num: int, den: int):
             rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             prefix = sizes - (-(-sizes * num // den)) + 1
             keep = rank < prefix[of]
-            at, word = of[keep], flat[order][keep]
-            band = np.floor(np.log(sizes) / ratio + 1e-9).astype(np.int32)
+            at, word, rank = of[keep], flat[order][keep], rank[keep]
+            level = np.log(sizes) / step
+            band = np.floor(level / BAND + 1e-9).astype(np.int64)
+            below = np.floor((level - 1) / BAND - 1e-9) < band
             for guest in (False, True):
+                if guest:
+                    some = below[at]
+                    at, word, rank = at[some], word[some], rank[some]
+                key = (word ^ rows["grp"].to_numpy()[at]) * np.int64(-7046029254386353131) + (band[at] - guest)
                 yield pd.DataFrame(
                     {
-                        "grp": rows["grp"].to_numpy()[at],
-                        "word": word,
-                        "band": band[at] - guest,
+                        "tile": key ^ (key >> np.int64(29)),
                         "guest": guest,
                         "rec_id": rows["rec_id"].to_numpy()[at],
                         "size": sizes[at].astype(np.int32),
+                        "rank": rank.astype(np.int32),
                         **{f"s{i}": sig[at, i].view(np.int64) for i in range(SIGNATURE_WORDS)},
                     }
                 )
@@ -78,23 +85,31 @@ def _tiles(sketch, num: int, den: int):
     return run
 
 
-_TILE_SCHEMA = "grp string, word long, band int, guest boolean, rec_id long, size int, " + ", ".join(f"s{i} long" for i in range(SIGNATURE_WORDS))
+_TILE_SCHEMA = "tile long, guest boolean, rec_id long, size int, rank int, " + ", ".join(f"s{i} long" for i in range(SIGNATURE_WORDS))
 
 
 def _compare(num: int, den: int):
-    """Pairs of a tile that the bitmap bound lets through; rows come sorted by tile, a tile is at most 2 TILE_ROWS rows."""
-    tile = ["grp", "word", "band", "block_a", "block_b"]
+    """Pairs of a tile that the bounds let through; rows come sorted by tile and size, a tile is at most about 2 TILE_ROWS rows."""
+    def begins(rows: pd.DataFrame) -> np.ndarray:
+        """Whether a tile begins at a row."""
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = False
+        for c in ("tile", "block_a", "block_b"):
+            x = rows[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return new
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame | None:
-        change = (rows[tile] != rows[tile].shift()).any(axis=1).to_numpy()
-        start = np.flatnonzero(change)
-        length = np.diff(np.append(start, len(rows)))
-        ends = np.repeat(start + length, length)
-        n = ends - np.arange(len(rows)) - 1
+        change = begins(rows)
         size = rows["size"].to_numpy().astype(np.int64)
+        # rows of one tile come by size: the partners of a row end where the sizes are too large for it
+        place = np.cumsum(change) * (1 << 33) + size
+        most = np.searchsorted(place, np.cumsum(change) * (1 << 33) + size * den // num, side="right")
+        n = most - np.arange(len(rows)) - 1
         sig = np.stack([rows[f"s{i}"].to_numpy().view(np.uint64) for i in range(SIGNATURE_WORDS)], axis=1)
         guest, block = rows["guest"].to_numpy(), rows["block"].to_numpy()
         off = (rows["block_a"] != rows["block_b"]).to_numpy()
+        rest = size - rows["rank"].to_numpy()  # from the word of the tile on
         ids, out = rows["rec_id"].to_numpy(), []
         lo = 0
         total = np.cumsum(n)
@@ -104,14 +119,15 @@ def _compare(num: int, den: int):
             m = n[lo:hi]
             a = np.repeat(np.arange(lo, hi), m)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            both = size[a] + size[b]
+            # of a pair whose first common word this is, all other common words come behind it in both sets
+            ok = np.minimum(rest[a], rest[b]) * (num + den) >= both * num
             # two guests meet as owners of their own band; blocks of a split tile meet once
-            ok = ~(guest[a] & guest[b]) & (ids[a] != ids[b]) & (~off[a] | (block[a] != block[b]))
-            ok &= (np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num)
-            a, b = a[ok], b[ok]
+            ok &= ~(guest[a] & guest[b]) & (ids[a] != ids[b]) & (~off[a] | (block[a] != block[b]))
+            a, b, both = a[ok], b[ok], both[ok]
             apart = np.zeros(len(a), dtype=np.int64)
             for i in range(SIGNATURE_WORDS):
                 apart += np.bitwise_count(sig[a, i] ^ sig[b, i])
-            both = size[a] + size[b]
             ok = ((both - apart) // 2) * (num + den) >= both * num
             a, b = a[ok], b[ok]
             if len(a):
@@ -130,8 +146,7 @@ def _compare(num: int, den: int):
                 rows = pd.concat([rest, rows], ignore_index=True)
             if rows.empty:
                 continue
-            last = (rows[tile] != rows[tile].iloc[-1]).any(axis=1).to_numpy()
-            cut_at = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            cut_at = int(np.flatnonzero(begins(rows))[-1])
             rest = rows.iloc[cut_at:].reset_index(drop=True)
             if cut_at and (out := pairs(rows.iloc[:cut_at].reset_index(drop=True))) is not None:
                 yield out
@@ -154,28 +169,26 @@ def near_duplicates(
     """
     num, den = threshold
     spark = records.sparkSession
-    sets = word_sets(records, key, group, text)
-    same = F.struct(F.xxhash64("words").alias("h"), F.xxhash64(F.lit("other"), "words").alias("i"))
-    members = cut(sets.withColumn("same", same).dropDuplicates(["rec_id", "grp", "same"]))
-    classes = cut(members.groupBy("grp", "same").agg(F.min("rec_id").alias("rec_id"), F.first("words").alias("words")))
+    digest = F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32))  # 128 bits: sets of one digest count as equal
+    sets = cut(word_sets(records, key, group, text).withColumn("same", digest))
+    classes = cut(sets.groupBy("grp", "same").agg(F.min("rec_id").alias("rec_id"), F.first("words").alias("words")))
     lookup = classes.select("grp", "same", F.col("rec_id").alias("class_id"))
-    members = members.select("rec_id", "grp", "same").join(lookup, ["grp", "same"]).select("rec_id", "grp", "class_id")
+    members = sets.select("rec_id", "grp", "same").dropDuplicates().join(lookup, ["grp", "same"]).select("rec_id", "grp", "class_id")
 
     sketch = spark.sparkContext.broadcast(_sketch(classes))
-    hashed = classes.select("grp", "rec_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    tiles = cut(hashed.mapInPandas(_tiles(sketch, num, den), _TILE_SCHEMA))
-    where = ["grp", "word", "band"]
-    counts = tiles.groupBy(*where).count().filter(F.col("count") > 1)
-    counts = counts.select(*where, F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks"))
-    tiles = tiles.join(counts, where)
+    hashed = classes.select(F.xxhash64("grp").alias("grp"), "rec_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    tiles = made = cut(hashed.mapInPandas(_tiles(sketch, num, den), _TILE_SCHEMA))
     # a hot tile is cut into blocks by hash; each pair of blocks is a tile of its own
+    hot = tiles.groupBy("tile").count().filter(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks"))
+    tiles = tiles.join(small(cut(hot)), "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("rec_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = tiles.withColumn("block", block).withColumn("other", other)
     tiles = tiles.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other")).drop("other", "blocks")
-    keys = [*where, "block_a", "block_b"]
-    tiles = tiles.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
-    pairs = tiles.mapInPandas(_compare(num, den), "a long, b long").dropDuplicates()
+    keys = ["tile", "block_a", "block_b"]
+    tiles = tiles.repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys, "size")
+    pairs = cut(tiles.mapInPandas(_compare(num, den), "a long, b long").dropDuplicates())
+    release(made)
 
     side = lambda n: classes.select(F.col("rec_id").alias(n), F.col("words").alias(f"words_{n}"), F.col("grp").alias(f"grp_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("grp_a = grp_b")
