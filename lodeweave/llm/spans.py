@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.plans.runtime import cut, shuffle_width
+from lodeweave.plans.runtime import cut, release, shuffle_width
 
 #: Length limits of the rounds. Symbols have at most 2 * limit characters after a round (runs aside); what happens to a
 #: symbol depends on at most MARGIN characters to either side: the sum over the rounds of the longest symbols before them.
@@ -333,10 +333,16 @@ def _windows(span: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for r in rows.itertuples(index=False):
-                shift = range(max(0, r.lead + r.width - span), min(r.lead, len(r.chars) - span) + 1) if r.width <= span else range(0, len(r.chars) - span + 1)
-                data = [_digest(r.chars[i : i + span]) for i in shift]
-                yield pd.DataFrame({"stretch": data, "phrase": r.phrase, "context": [r.context] * len(data), "text_key": r.text_key, "start": np.arange(shift.start, shift.start + len(data), dtype=np.int32) + np.int32(r.at - r.lead), "skip": np.arange(shift.start, shift.start + len(data), dtype=np.int32)})
+            data, of, skip = [], [], []
+            for i, r in enumerate(rows.itertuples(index=False)):
+                last = len(r.chars) - span
+                shift = range(max(0, r.lead + r.width - span), min(r.lead, last) + 1) if r.width <= span else range(0, last + 1)
+                data += [_digest(r.chars[k : k + span]) for k in shift]
+                of += [i] * len(shift)
+                skip += shift
+            of, skip = np.array(of, dtype=np.int64), np.array(skip, dtype=np.int32)
+            column = lambda c: rows[c].to_numpy()[of]  # noqa: E731, B023
+            yield pd.DataFrame({"stretch": data, "phrase": column("phrase"), "context": column("context"), "text_key": column("text_key"), "start": (column("at") - column("lead") + skip).astype(np.int32), "skip": skip})
 
     return run
 
@@ -379,6 +385,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     found = places.join(several, "phrase").dropDuplicates().join(mine, "doc_id")
     by_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("phrase", "at", "width")).alias("places"))
     around = cut(texts.join(by_text, "doc_id").select("text_key", "text", "places").mapInPandas(_around(span), _AROUND))
+    release(rows)
     # classes of equal surroundings, each with its first occurrence as representative
     own = F.struct("text_key", "at", "lead", "width")
     classes = around.groupBy("phrase", "context").agg(F.min(own).alias("r"), F.max("text_key").alias("hi"), F.first("chars").alias("chars"))
@@ -396,7 +403,9 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     by = tied.groupBy("rep_key", "text_key", (F.col("start") - F.col("rep_start")).alias("shift"))
     pieces = by.agg(F.collect_set(F.struct(F.col("rep_start").alias("lo"), (F.col("rep_start") + F.col("length")).alias("hi"))).alias("pieces"))
     one = pieces.select("rep_key", "text_key", "shift", F.explode(_joined(F.col("pieces"))).alias("p"))
-    return records, cut(one.select("rep_key", F.col("p.lo").alias("rep_start"), "text_key", (F.col("p.lo") + F.col("shift")).alias("start"), (F.col("p.hi") - F.col("p.lo")).alias("length")))
+    out = cut(one.select("rep_key", F.col("p.lo").alias("rep_start"), "text_key", (F.col("p.lo") + F.col("shift")).alias("start"), (F.col("p.hi") - F.col("p.lo")).alias("length")))
+    release(around, classes, stretches)
+    return records, out
 
 
 def linked_pairs(records: DataFrame, spans: DataFrame, span: int = LEAST_SPAN) -> DataFrame:
