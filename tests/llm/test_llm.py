@@ -110,7 +110,7 @@ def test_valid_and_damaged_files(path):
     assert parse.check_file(path, b"")[1] == 0
     body = data.decode()
     conflict = body.replace("\n", "\n<<<<<<< ours\n", 1) if "\n" in body else "<<<<<<< ours\n" + body
-    assert parse.check_file(path, conflict.encode())[1:] != (0, "") and parse.check_file(path, conflict.encode())[2] == "conflict"
+    assert parse.check_file(path, conflict.encode())[1] > 0 and parse.check_file(path, conflict.encode())[2] == "conflict"
     assert parse.check_file(path, body[: len(body) * 2 // 3].rpartition("{" if path != "a.py" else "(")[0].encode() + (b"{" if path != "a.py" else b"("))[1] > 0
     assert parse.check_file(path, b"<!DOCTYPE html>\n<html><body><p>Some text of a page.</p></body></html>\n")[2] == "mismatch" or path == "a.py" or path == "a.json"
     for other, text in VALID.items():
@@ -119,6 +119,34 @@ def test_valid_and_damaged_files(path):
     assert parse.check_file("a.md", b"{") is None
 
 
+SNIPPETS = [
+    ("a.rs", "macro_rules! m { ($x:expr) => { $x + 1 }; }\n", 0, ""),
+    ("a.java", "sealed interface S permits A {}\nnon-sealed class A implements S {}\n", 0, ""),
+    ("a.ts", "const f = <T,>(x: T) => x\nfunction g(a: number, b?) {}\ndeclare module \"x\" {}\n", 0, ""),
+    ("a.go", "// only a comment\n", 1, ""),
+    ("a.go", "package a\n\nfunc f() {\n\tif a {\n\t}\n\telse {\n\t}\n}\n", 1, "damage"),
+    ("a.json", " \n", 1, ""),
+    ("a.json", '{"a": 1,\n "b" 2,\n "c": [1 2]}\n', 2, "damage"),
+    ("a.json", '{"a": [1,\n', 1, "truncation"),
+    ("a.py", "match x:\n    case [1, *r] | {'a': b, **c} if r: pass\n    case A(x=1) as y:\n        match = case\nmatch(x)\ntype X[T] = list[T]\n", 0, ""),
+    ("a.py", "with (open(a) as b, c): x = lambda *a, k=1: (yield)\nfor i, *j in a: print(i); del j\nelse: pass\nasync def f(a, /, *, b: int = 1, **c) -> int:\n    try: return [x async for x in y if x not in z]\n    except* E as e: raise E from e\n", 0, ""),
+    ("a.py", "@a.b(c)\nclass A[T](B, k=1):\n    x: int = 1\n    def f(self): return (i := 1), {**a, 1: 2}, {*a}, a[1:, ::2, ...]\n    if a: \\\n        pass\n", 0, ""),
+    ("a.py", "def f():\n    x = 1\n  y = 2\n", 1, "damage"),
+    ("a.py", "if a:\nb = 1\n", 1, "damage"),
+    ("a.py", "x = 1\nfor a in b\n    c\n", 1, "damage"),
+    ("a.py", "x = 1\ndef f(a,\n", 1, "truncation"),
+    ("a.py", "x = 1\n<<<<<<< a\ny = 2\n=======\ny = 3\n>>>>>>> b\n", 1, "conflict"),
+    ("a.py", "else:\n    pass\n", 1, "mismatch"),
+]
+
+
+@pytest.mark.parametrize("path,text,least,kind", SNIPPETS)
+def test_snippets(path, text, least, kind):
+    _, edits, got, line = parse.check_file(path, text.encode())
+    assert (edits >= least) if least else edits == 0
+    assert not kind or got == kind or kind == "mismatch"
+
+
 DEEP = 100_000
 DEEP_FILES = [
     ("a.json", "[" * DEEP + "]" * DEEP, False),
@@ -141,7 +169,8 @@ def test_edit_distance_is_least():
     g = chart.Grammar({"a": "A", "b": "B", "c": "C"}, {}, {"(": {"x": "( 'a' % 'b' )?"}, "[": {}, "{": {}, "top": {"t": "( 'c' (x) )*"}})
     m = g.machines["("]["x"]
     assert [m.distance(s) for s in ("", "A", "ABA", "AA", "ABBA", "B", "CCC")] == [0, 0, 0, 1, 1, 1, 3]
-    assert chart.parse(g, "C(ABA)C()") == (0, 0, 0) and chart.parse(g, "C(AA)")[0] == 1 and chart.parse(g, "C(A")[1:] == (1, 1)
+    assert chart.parse(g, "C(ABA)C()") == ([], 0) and chart.parse(g, "C(AA)") == ([(3, 1)], 0) and chart.parse(g, "C(A") == ([(3, 1)], 1)
+    assert chart.parse(g, "C(ABA)(AB)") == ([(9, 1), (6, 1)], 0)
 
 
 def test_current_version_counts(spark):
