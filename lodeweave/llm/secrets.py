@@ -37,12 +37,28 @@ _FORMATS = {
     "rk_live_": r"rk_live_[A-Za-z0-9]{16,}",
     "aiza": r"AIza[A-Za-z0-9_\-]{35}",
     "npm_": r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
+    "sk_test_": r"sk_test_[A-Za-z0-9]{16,}",
+    "whsec_": r"whsec_[A-Za-z0-9+/=]{24,}",
+    "sg.": r"SG\.[A-Za-z0-9_\-]{16,32}\.[A-Za-z0-9_\-]{32,64}(?![A-Za-z0-9])",
+    "hf_": r"hf_[A-Za-z0-9]{34}(?![A-Za-z0-9])",
+    "dckr_pat_": r"dckr_pat_[A-Za-z0-9_\-]{20,}",
+    "sk-proj-": r"sk-proj-[A-Za-z0-9_\-]{20,}",
+    "sk-ant-": r"sk-ant-[a-z0-9]+-[A-Za-z0-9_\-]{20,}",
+    "pypi-ageic": r"pypi-AgEIc[A-Za-z0-9_\-]{40,}",
+    "shpat_": r"shpat_[0-9a-fA-F]{32}(?![0-9A-Za-z])",
+    "dop_v1_": r"dop_v1_[0-9a-f]{64}(?![0-9A-Za-z])",
+    "xapp-": r"xapp-[0-9]-[A-Z0-9]+-[0-9]+-[0-9a-f]{32,}",
+    "age-secret-key-": r"AGE-SECRET-KEY-1[0-9A-Z]{58}(?![0-9A-Za-z])",
+    "ya29.": r"ya29\.[A-Za-z0-9_\-]{30,}",
+    "hooks.slack.com/services/": r"hooks\.slack\.com/services/T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{20,}",
+    "/api/webhooks/": r"/api/webhooks/[0-9]{15,}/[A-Za-z0-9_\-]{40,}",
     "eyj": r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
 }
 # Names under which credentials are kept.
 _NAMES = [
     "password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key",
     "signing_key", "signingkey", "private_key", "privatekey", "credential", "bearer", "authkey", "auth_key",
+    "storage_key", "account_key", "accountkey", "encryption_key", "master_key", "private-token", "_pass", "-pass",
 ]
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -65,6 +81,13 @@ _WORDS = re.compile(r"[a-z]+(?:[_.\-/:][a-z]+)*|[A-Z]+(?:[_.\-][A-Z]+)*|(?:[a-z]
 _NUMBER = re.compile(r"[+\-]?[\d_.,:]+[a-zA-Z]{0,2}")
 
 
+def _is_phrase(value: str, name: str) -> bool:
+    """What is_secret leaves out, but a literal under the name of a password holds: short with a digit, or four and more words."""
+    if not re.search(r"passw|passphrase|pwd|secret", name, re.I) or _PLACEHOLDER.search(value):
+        return False
+    return bool(re.fullmatch(r"(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{6,7}", value) or re.fullmatch(r"[a-z]{3,}(?:-[a-z]{3,}){3,}", value))
+
+
 def is_secret(value: str) -> bool:
     """Whether a value in the place of a credential can be one: no placeholder, variable, plain word, number or UUID."""
     if len(value) < 8 or _PLACEHOLDER.search(value) or _UUID.fullmatch(value) or _NUMBER.fullmatch(value) or _WORDS.fullmatch(value):
@@ -89,6 +112,9 @@ _OPTION = re.compile(r"(?:=|[ \t]+)[\"']?(?P<v>[^\s\"']+)")
 _PROSE = re.compile(r"[ \t]+(?P<v>[^\s\"']+)")
 _USER_SLASH = re.compile(r"[\w.@\-]+[ \t]*/[ \t]*$")
 _CONNECT = re.compile(r"://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`]+)@")
+_HEADER_VALUE = re.compile(r"[\w\-]*:[ \t]*(?:[A-Z][a-z]+[ \t]+)?(?P<v>[^\s\"']+)(?=[\"'])")
+_TOKEN_VALUE = re.compile(r"[ \t]+(?P<v>[^\s\"'`]+)(?=[\"'`])")
+_INI_VALUE = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}[ \t]*$", re.M)
 _BEARER = re.compile(r"[ \t]+(?P<v>[A-Za-z0-9_\-.+/=~]+)")
 _BASIC = re.compile(r"basic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/])", re.I)
 _USER_OPTION = re.compile(r"-u[ \t]*[\"']?[\w.@\-]+:(?P<v>[^\s\"']+)")
@@ -167,8 +193,14 @@ def _named(text: str, at: int, end: int) -> tuple[int, int] | None:
     m = _ARG.match(text, end)
     if m and is_secret(m["v"]) and not _NO_SECRET_NAME.search(m.group(0).partition('"')[0]):
         return m.span("v")
+    if text[at - 1 : at] in ("'", '"') or re.search(r"[\"'][\w\-]*$", text[max(0, at - 40) : at]):  # a header of a request, quoted
+        if (m := _HEADER_VALUE.match(text, end)) and is_secret(m["v"]):
+            return m.span("v")
+    if text[at:end].lower() == "token" and (text[at - 1 : at] in ("'", '"', "`") or re.search(r"[Aa]uthorization:[ \t]*$", text[max(0, at - 20) : at])):
+        if (m := _TOKEN_VALUE.match(text, end)) and is_secret(m["v"]):
+            return m.span("v")
     m = _ASSIGN.match(text, end)
-    if not m:
+    if not m or text[at:end].lower() in ("_pass", "-pass") and m["rest"]:
         return None
     if _NO_SECRET_NAME.search(m["rest"]) or m["rest"].endswith("."):
         return None
@@ -186,7 +218,7 @@ def _named(text: str, at: int, end: int) -> tuple[int, int] | None:
                 break
             lit = _LITERAL[q].match(text, j.end())
             value, last = value + lit.group(0), lit.end()
-        return (m.end(), last) if is_secret(value) else None
+        return (m.end(), last) if is_secret(value) or _is_phrase(value, text[at:end]) else None
     bare = _BARE.match(text, m.end())
     if not bare or text[bare.end() : bare.end() + 1] in ("(", "[", "{") or "(" in bare.group(0):
         return None
@@ -194,6 +226,8 @@ def _named(text: str, at: int, end: int) -> tuple[int, int] | None:
     after = text[bare.end() :].partition("\n")[0]
     if m["op"] == "=" and not m["gap"] and "=" == text[m.end() - 1]:
         return bare.span() if is_secret(bare.group(0)) else None
+    if m["op"] == "=" and m["gap"] and re.fullmatch(r"[ \t]*[\w.\-]*", line) and _INI_VALUE.match(text, m.end()) and is_secret(bare.group(0)):
+        return bare.span()
     if m["op"] == ":" and m["gap"] and not after.strip() and re.fullmatch(r"[ \t\-]*[\w.\-]*", line):
         return bare.span() if is_secret(bare.group(0)) else None
     return None
@@ -222,7 +256,7 @@ def _read(text: str, at: int, end: int, kind: str, grammar) -> tuple[int, int, s
     if kind == "format":
         before = text[at - 1 : at]
         m = grammar.match(text, at)
-        if m and not (before.isalnum() and before.isascii()) and not _PLACEHOLDER.search(m.group(0)):
+        if m and not (before.isalnum() and before.isascii() and text[at].isalnum()) and not _PLACEHOLDER.search(m.group(0)):
             return at, m.end(), "TOKEN"
     elif kind == "name":
         if text[at:end].lower() == "bearer" and (m := _BEARER.match(text, end)) and is_secret(m["v"]):

@@ -268,6 +268,23 @@ SECRETS = [
 ]
 
 
+_MIXED = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ2bC4eF6hJ8kL0n"  # 40 characters
+FORMATS = [
+    ("h = 'token " + _MIXED[:32].lower() + "'", True), ("msg = 'token expired at line 33'", False),
+    ("curl -H 'X-Api-Key: " + "74bf20f876ffc474" * 2 + "' https://h", True), ("curl -H 'Private-Token: " + _MIXED[:20] + "'", True),
+    ('password = "hunter2"', True), ('SECRET="correct-horse-battery-staple"', True), ('password = "prod"', False), ('secret_name = "prod-db-service-two"', False),
+    ("SG." + _MIXED[:22] + "." + _MIXED, True), ("hf_" + _MIXED[:34], True), ("docker login -p dckr_pat_" + _MIXED[:27], True), ("sk-proj-" + _MIXED, True),
+    ("https://hooks.slack.com/services/T0AB1CD2E/B0AB1CD2E/" + _MIXED[:24], True), ("https://c.example/api/webhooks/123456789012345678/" + _MIXED * 2, True),
+    ("AZURE_STORAGE_KEY=" + _MIXED * 2 + "==", True), ("aws_secret_access_key = " + _MIXED, True), ("export DB_PASS='" + _MIXED[:12] + "'", True), ('passport_x = "' + _MIXED[:12] + '"', False),
+    ("mysql -uroot -pS3cretPw db", True), ("cache_key = 'user:profile:1'", False), ("token = next(it2)", False),
+]
+
+
+@pytest.mark.parametrize("text,found", FORMATS)
+def test_formats_of_credentials(text, found):
+    assert bool(secrets.find_spans(text)) == found
+
+
 @pytest.mark.parametrize("text,lines", SECRETS)
 def test_credentials(text, lines):
     found = secrets.find_spans(text)
