@@ -47,6 +47,7 @@ MARKERS = [
     ("shell.permission_denied", "Permission denied", "failure"),
     ("shell.traceback", r"Traceback \(most recent call last\)", "failure"),
 ]
+#: Markers under which an arc is of low confidence; the table above has none of them, a caller's own may.
 TRANSIENT = {"generic.timeout", "generic.connection_reset", "generic.rate_limit"}
 
 NORMAL = "verb string, flags array<string>, args array<string>, arg_classes array<string>, env_names array<string>, cd_target string"
@@ -180,8 +181,12 @@ def termination(rc: Column, interrupted: Column) -> Column:
     )
 
 
-def outcome(rc: Column, is_error: Column, interrupted: Column, found: Column) -> Column:
-    """success, failure, soft_failure, interrupted or unknown, from the end of a command and its markers."""
+def outcome(rc: Column, is_error: Column, interrupted: Column, found: Column, harness: Column | None = None) -> Column:
+    """success, failure, soft_failure, interrupted or unknown, from the end of a command and its markers.
+
+    harness: whether the harness counts it as a success; it has a say only where nothing else has.
+    """
+    routed = F.lit("unknown") if harness is None else F.when(harness, "success").when(~harness, "failure").otherwise("unknown")
     of = lambda kind: F.arrays_overlap(found, F.array(*[F.lit(i) for i, _, k in MARKERS if k == kind]))
     return (
         F.when(termination(rc, interrupted).isin("signal", "cancelled"), "interrupted")
@@ -189,5 +194,5 @@ def outcome(rc: Column, is_error: Column, interrupted: Column, found: Column) ->
         .when(of("success"), "success")
         .when(rc.isNotNull(), F.when(rc == 0, "success").otherwise("failure"))
         .when(F.coalesce(is_error, F.lit(False)), "failure")
-        .otherwise("unknown")
+        .otherwise(routed)
     )

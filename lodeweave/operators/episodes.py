@@ -49,27 +49,28 @@ def digest(text: Column, chars: int = 2000, head: int = 20, tail: int = 20) -> C
 
 def derived(episodes: DataFrame) -> DataFrame:
     """Episodes with termination, markers found in their output, and outcome."""
-    rows = unique_episodes(episodes).withColumn("markers", markers(F.col("stdout"), F.col("stderr")))
+    rows = episodes.withColumn("markers", markers(F.col("stdout"), F.col("stderr")))
     rows = rows.withColumn("termination", termination(F.col("rc"), F.col("interrupted")))
-    return rows.withColumn("outcome", outcome(F.col("rc"), F.col("is_error"), F.col("interrupted"), F.col("markers")))
+    harness = F.col("harness_success") if "harness_success" in episodes.columns else None
+    return unique_episodes(rows.withColumn("outcome", outcome(F.col("rc"), F.col("is_error"), F.col("interrupted"), F.col("markers"), harness)))
 
 
 def list_episodes(episodes: DataFrame, workspace: str, session_id: str | None = None, since: float | None = None, until: float | None = None, limit: int = 50) -> DataFrame:
     """Episodes of a workspace, newest first."""
-    rows = unique_episodes(episodes).filter(F.col("workspace") == workspace)
+    rows = episodes.filter(F.col("workspace") == workspace)
     if session_id is not None:
         rows = rows.filter(F.col("session_id") == session_id)
     if since is not None:
         rows = rows.filter(F.col("ts") >= since)
     if until is not None:
         rows = rows.filter(F.col("ts") <= until)
-    return rows.orderBy(F.col("ts").desc_nulls_last(), F.desc("id")).limit(limit)
+    return unique_episodes(rows).orderBy(F.col("ts").desc_nulls_last(), F.desc("id")).limit(limit)
 
 
 def retained(episodes: DataFrame, now: float, rows: int = KEEP_ROWS, days: float = KEEP_DAYS) -> DataFrame:
     """The newest `rows` episodes of each workspace that are at most `days` old."""
     w = Window.partitionBy("workspace").orderBy(F.col("ts").desc_nulls_last(), F.desc("id"))
-    young = unique_episodes(episodes).filter(F.col("ts") >= now - days * 86400)
+    young = unique_episodes(episodes.filter(F.col("ts") >= now - days * 86400))
     return young.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= rows).drop("_r")
 
 
@@ -77,13 +78,22 @@ def episode_counts(episodes: DataFrame) -> DataFrame:
     return unique_episodes(episodes).groupBy("workspace").agg(F.count(F.lit(1)).alias("episodes"))
 
 
-ARC = "session_id string, failure_ids array<long>, success_id long, confidence string, changed array<string>"
+ARC = "session_id string, failure_ids array<long>, success_id long, confidence string, changed array<string>, changes array<struct<axis:string,old:string,new:string>>"
 _NEEDED = ["id", "session_id", "ts", "cwd", "tool", "cmd_raw", "outcome", "termination", "markers", "env_delta_names", "file_path"]
 
 
+def differences(a: dict, env_a: list, b: dict, env_b: list) -> list[tuple[str, str, str]]:
+    """(axis, old, new) in which two commands (normal forms and names of their environment) differ."""
+    sides = [("verb", a["verb"], b["verb"]), ("flag", sorted(set(a["flags"])), sorted(set(b["flags"]))), ("arg", list(a["args"]), list(b["args"])), ("env", sorted(set(env_a)), sorted(set(env_b)))]
+    shown = lambda x: x if isinstance(x, str) else " ".join(x)
+    return [(axis, shown(old), shown(new)) for axis, old, new in sides if old != new]
+
+
 class _Session:
     """What is pending in one session: failures by (tool, directory), recent edits, commands known to be flaky."""
 
+    transient = TRANSIENT  # markers under which an arc is of low confidence
+
     def __init__(self, kept: dict | None = None):
         kept = kept or {}
         self.count, self.last = kept.get("count", 0), kept.get("last", 0.0)
@@ -155,9 +165,11 @@ class _Session:
                 front = p
         self._drop(key, chain + noise)
         first = chain[0]
-        axes = [("verb", first["n"]["verb"] != n["verb"]), ("flag", set(first["n"]["flags"]) != set(n["flags"])), ("arg", list(first["n"]["args"]) != list(n["args"])), ("env", first["env"] != env), ("files", bool(files))]
-        low = any(m in TRANSIENT for p in chain for m in p["markers"])
-        return e["session_id"], [p["id"] for p in chain], e["id"], "low" if low else "normal", [a for a, changed in axes if changed]
+        changes = [(axis, old, new) for axis, old, new in differences(first["n"], first["env"], n, env)]
+        if files:
+            changes.append(("files", "", " ".join(dict.fromkeys(x[2] or "" for x in files))))
+        low = any(m in self.transient for p in chain for m in p["markers"])
+        return e["session_id"], [p["id"] for p in chain], e["id"], "low" if low else "normal", [a for a, _, _ in changes], [{"axis": a, "old": o, "new": w} for a, o, w in changes]
 
     def _drop(self, key: tuple, gone: list[dict]) -> None:
         left = [p for p in self.pending.get(key, []) if all(p is not g for g in gone)]
@@ -190,18 +202,18 @@ def _sessions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 current, session = sid, _Session()
             out += observe_rows(session, part)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "failure_ids", "success_id", "confidence", "changed"])
+            yield pd.DataFrame(out, columns=["session_id", "failure_ids", "success_id", "confidence", "changed", "changes"])
 
 
 def arcs(episodes: DataFrame) -> DataFrame:
-    """(session_id, failure_ids, success_id, confidence, changed): commands that failed until something changed.
+    """(session_id, failure_ids, success_id, confidence, changed, changes): commands that failed until something changed, and how.
 
     A session is read in the order of ts, then id, as a stream within its task: only what is pending is held in memory,
     however long the session is. Rows without session are left out; a row without ts comes first and counts as just after the one
     before it. A success is matched with the most similar pending failure of the same tool and directory within 20
     commands and 600 seconds; an identical command that succeeds with nothing changed is a flake and gives no arc.
     """
-    rows = derived(episodes).filter("session_id is not null").select(*_NEEDED)
+    rows = derived(episodes.filter("session_id is not null")).select(*_NEEDED)
     rows = rows.repartition("session_id").sortWithinPartitions("session_id", "ts", "id")
     return rows.mapInPandas(_sessions, ARC)
 
@@ -215,6 +227,25 @@ def list_arcs(found: DataFrame, episodes: DataFrame, limit: int = 50) -> DataFra
     return out.orderBy(F.when(F.col("confidence") == "normal", 0).otherwise(1), "ts", "success_id").limit(limit).select("session_id", "success_id", "confidence", "failed", "succeeded")
 
 
+def pending_arcs(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """(session_id, pending): arcs that no row of marks(success_id, status) has distilled or dismissed yet."""
+    done = marks.filter("status in ('distilled', 'dismissed')").select("success_id").distinct()
+    return found.join(done, "success_id", "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
+def mark_episodes(episodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, arc_id): episodes that belong to an arc, named by the id of its success; of several arcs the first."""
+    inside = found.select(F.explode(F.concat("failure_ids", F.array("success_id"))).alias("id"), F.col("success_id").alias("arc_id"))
+    return unique_episodes(episodes.select("id")).join(inside.groupBy("id").agg(F.min("arc_id").alias("arc_id")), "id")
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """A time given as seconds, or in ISO 8601 with Z or an offset, as seconds; NULL for others."""
+    text = F.trim(ts.cast("string"))
+    iso = F.regexp_replace(F.regexp_replace(text, "Z$", "+00:00"), "^(\\d{4}-\\d{2}-\\d{2}) ", "$1T")
+    return F.coalesce(text.try_cast("double"), F.unix_micros(iso.try_cast("timestamp")) / 1e6)
+
+
 def resolve(found: DataFrame, ids: list[int], status: str) -> DataFrame:
     """(success_id, status): those of the asked arcs that there are get a status, the others unknown."""
     asked = found.sparkSession.createDataFrame([(i,) for i in ids], "success_id long")

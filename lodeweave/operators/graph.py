@@ -10,7 +10,7 @@ from lodeweave.plans.runtime import cut, small
 
 # Ranks of the order of matches, sizes of spans, names no graph needs.
 KIND_RANK = {"class": 0, "struct": 0, "interface": 0, "enum": 0, "trait": 0, "function": 0, "method": 0, "type": 1, "constant": 1, "impl": 2, "alias": 2}
-LARGE_SPAN, SMALL_SPAN, MOST_CANDIDATES, MOST_EDGES = 100, 10, 200, 1000
+LARGE_SPAN, SMALL_SPAN = 100, 10
 BUILTINS = ["print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "super", "open", "sorted", "enumerate", "zip", "map", "filter", "sum", "min", "max", "any", "all", "append", "format", "println", "require", "panic", "make", "get", "put"]
 DAMPING, ITERATIONS, CUT_EVERY = 0.85, 60, 10
 

@@ -16,7 +16,7 @@ HALF_LIFE = {"directive": None, "operational": 14, "task": 21, "gotcha": 30, "fi
 TTL = {"directive": None, "operational": 60, "task": 90, "gotcha": 120, "finding": 120, "reference": 180, "decision": 240}
 STATES = {"created": "active", "reinstated": "active", "superseded": "superseded", "revoked": "revoked", "expired": "expired"}
 FLOOR_SHARE, FLOOR_LEAST, FLOOR_MOST, FLOOR_POOL = 0.2, 2, 5, 2000
-RELATED_LIMIT, RELATED_LEAST, REVOKED_POOL = 3, 0.75, 100
+RELATED_LIMIT, RELATED_LEAST = 3, 0.75
 BOOT_DIRECTIVES, BOOT_TASKS, RESUME_GOTCHAS, SNAPSHOT_NOTES = 100, 5, 5, 100
 LADDER = ["auto", "agent", "user"]
 DAY = 86400.0
@@ -66,10 +66,9 @@ def _order(sort_by: str) -> list[Column]:
 
 
 def live(notes: DataFrame, workspace: str | None = None, superseded: bool = False) -> DataFrame:
-    rows = unique_notes(notes)
-    if workspace is not None:
-        rows = rows.filter(F.col("workspace") == workspace)
-    return rows if superseded else rows.filter("valid_until is null")
+    rows = notes if workspace is None else notes.filter(F.col("workspace") == workspace)
+    # filters go first: rows of one note agree in all columns, and none but those asked for are shuffled
+    return unique_notes(rows if superseded else rows.filter("valid_until is null"))
 
 
 def recall(notes: DataFrame, events: DataFrame, workspace: str, now: float, query: str | None = None, tags: list[str] | None = None, priority: str | None = None, kind: str | None = None, limit: int = 10, sort_by: str = "relevance", max_age_days: float | None = None, superseded: bool = False, session_id: str | None = None) -> DataFrame:
@@ -223,7 +222,7 @@ def forget(table: DataFrame, ids: list[int] | None = None, workspace: str | None
 
 
 def get_note(notes: DataFrame, workspace: str, note_id: int) -> DataFrame:
-    return unique_notes(notes).filter((F.col("workspace") == workspace) & (F.col("note_id") == note_id))
+    return unique_notes(notes.filter((F.col("workspace") == workspace) & (F.col("note_id") == note_id)))
 
 
 def note_counts(notes: DataFrame) -> DataFrame:

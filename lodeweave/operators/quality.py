@@ -17,7 +17,6 @@ CONFIG_NAMES = ["claude.md", "agents.md", "gemini.md", "codex.md", ".cursorrules
 CONFIG_DIRS = [".cursor", ".vscode"]
 GENERATED_NAMES = r"(_db\.h|_metadata\.h|\.pb\.(go|cc|h|py)|_pb2\.pyi?|\.min\.(js|css)|\.g\.dart)$|\.generated\."
 GENERATED_DIRS = ["clinic", "generated", "__generated__", "gen", "node_modules"]
-ARTIFACT_SUFFIXES = [".egg-info", ".dist-info"]
 TEST_NAMES = r"^test_|(_test\.(py|go|c|h)|\.(test|spec)\.(ts|js))$|^test.*\.(java|kt)$|^_test.*\.(c|h)$"
 TEST_DIRS = ["test", "tests", "__tests__", "spec", "testing"]
 TYPE_NODES = ["class_definition", "class_declaration", "struct_item", "enum_item", "impl_item", "interface_declaration", "enum_declaration", "type_declaration", "type_alias_declaration", "trait_item"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,10 +105,13 @@ def composite(quality: Column, rank: Column, total: Column, file_prior: Column,
 
 
 def collapse_copies(df: DataFrame, key: str, content: str, order: list[Column]) -> DataFrame:
-    """One row for texts that are equal but for case and white space, the first by `order`, with dup_count of the others."""
-    w = Window.partitionBy(F.sha2(normalized_content(F.col(content)), 256))
-    out = df.withColumn("_first", F.row_number().over(w.orderBy(*order, F.col(key)))).withColumn("dup_count", F.count(F.lit(1)).over(w) - 1)
-    return out.filter("_first = 1").drop("_first")
+    """One row for texts that are equal but for case and white space, the least by `order` and key, with dup_count of the others.
+
+    A sum by digest, so that many copies of one text are added up before they meet in one task; key must be unique.
+    """
+    digests = df.select(F.sha2(normalized_content(F.col(content)), 256).alias("_d"), F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(key).alias("_k")).alias("_o"))
+    first = digests.groupBy("_d").agg(F.min("_o").alias("_o"), (F.count(F.lit(1)) - 1).alias("dup_count"))
+    return df.join(first.select(F.col("_o._k").alias("_k"), "dup_count"), F.col(key) == F.col("_k")).drop("_k")
 
 
 def docstring_key(content: Column) -> Column:
@@ -190,10 +192,12 @@ def rerank(results: DataFrame, query: str, scorer=None, content: str = "content"
     return results.withColumn("ce_score", score(F.substring(F.col(content), 1, SEEN)))
 
 
-def search(chunks: DataFrame, query: str, k: int = 10, language: str | None = None, importance: DataFrame | None = None, dense_weight: float = 1 - LEXICAL_WEIGHT, scorer=None) -> DataFrame:
+def search(chunks: DataFrame, query: str, k: int = 10, language: str | None = None, importance: DataFrame | None = None, dense_weight: float = 1 - LEXICAL_WEIGHT, scorer=None, vectors: DataFrame | None = None, purpose: DataFrame | None = None, names: DataFrame | None = None, asked=None) -> DataFrame:
     """The k best chunks for a query: dense and lexical signals merged, reranked, weighed by quality and priors, copies collapsed.
 
     Result: place, chunk_id, file_path, symbol_name, start_line, end_line, score, quality, dup_count, low_confidence.
+    vectors(chunk_id, embedding) are the stored body vectors, purpose(chunk_id, embedding) those of the second space, asked the
+    query's own vector; without them texts are embedded here. names(name, importance) are the priors of classes and functions.
     Scores of BM25 are normalised over the whole corpus before the language filter. Chunks with NULL or blank content are
     left out, repeated chunks count once; ties are ordered by chunk_id.
     """
@@ -202,9 +206,9 @@ def search(chunks: DataFrame, query: str, k: int = 10, language: str | None = No
     if not tokens:
         docs = docs.limit(0)
     spark = chunks.sparkSession
-    asked = spark.range(1).select(embed(F.lit(query)).alias("v")).head()["v"]
+    asked = asked or spark.range(1).select(embed(F.lit(query)).alias("v")).head()["v"]
     lexical = bm25(docs, query, "chunk_id", "content")
-    body = docs.withColumn("embedding", embed(F.col("content")))
+    body = docs.withColumn("embedding", embed(F.col("content"))) if vectors is None else docs.join(vectors.select("chunk_id", "embedding"), "chunk_id")
     shown = body if language is None else body.filter(F.lower("language") == language.lower())
     merged = merge_hybrid(dense(shown, asked, "chunk_id"), lexical.join(shown.select("chunk_id"), "chunk_id", "left_semi"), "chunk_id", dense_weight)
     pool = rerank(union_of_signals(merged, "chunk_id").join(docs, "chunk_id"), query, scorer)
@@ -214,11 +218,13 @@ def search(chunks: DataFrame, query: str, k: int = 10, language: str | None = No
     pool = pool.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     priors = importance.select("file_path", "importance") if importance is not None else None
     pool = pool.join(F.broadcast(priors), "file_path", "left") if priors is not None else pool.withColumn("importance", F.lit(None).cast("double"))
+    pool = pool.join(F.broadcast(dense(purpose.join(pool.select("chunk_id"), "chunk_id", "left_semi"), asked, "chunk_id").select("chunk_id", F.col("dense").alias("_purpose"))), "chunk_id", "left") if purpose is not None else pool.withColumn("_purpose", F.lit(0.0))
+    pool = pool.join(names.groupBy(F.col("name").alias("symbol_name")).agg(F.max("importance").alias("_class")), "symbol_name", "left") if names is not None else pool.withColumn("_class", F.lit(0.0))
     quality = quality_score(F.col("content"), F.col("file_path"), F.col("language"), F.col("node_type"), F.col("symbol_name"), query_tokens=tokens)
     pool = pool.withColumn("quality", quality)
-    pool = pool.withColumn("_score", composite(F.col("quality"), F.col("_rank"), F.col("_n"), F.coalesce("importance", F.lit(0.0)), F.lit(0.0), F.lit(0.0), is_type_definition(F.col("node_type"))))
+    pool = pool.withColumn("_score", composite(F.col("quality"), F.col("_rank"), F.col("_n"), F.coalesce("importance", F.lit(0.0)), F.coalesce("_class", F.lit(0.0)), F.coalesce("_purpose", F.lit(0.0)), is_type_definition(F.col("node_type"))))
     by = [F.desc("_score"), F.desc("quality"), F.desc(F.length("content")), F.asc("_rank")]
-    pool = collapse_copies(pool, "chunk_id", "content", by)
+    pool = collapse_copies(pool, "chunk_id", "content", [-F.col("_score"), -F.col("quality"), -F.length("content"), F.col("_rank")])
     pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by, "chunk_id")))
     pool = collapse_near_copies(pool, "chunk_id", "content", "node_type", "place")
     pool = pool.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place"))).filter(F.col("place") <= k)
@@ -236,7 +242,3 @@ def recall_at_k(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     hits = relevant.join(found.filter(F.col("place") <= k).select("query", "key").distinct().withColumn("_hit", F.lit(1)), ["query", "key"], "left")
     per = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("_hit", F.lit(0))).alias("hits"))
     return per.agg(F.avg(F.col("hits") / F.col("n")).alias("macro_recall"), (F.sum("hits") / F.sum("n")).alias("micro_recall"), F.count(F.lit(1)).alias("queries"))
-
-
-def idf(n: int, df: int) -> float:
-    return math.log((n + 1) / df) if df else 0.0

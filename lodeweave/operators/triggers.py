@@ -18,13 +18,12 @@ from lodeweave.operators.memory import fold_states, live
 # Orders, budgets in tokens, thresholds, shapes of the gate.
 KIND_ORDER = ["directive", "gotcha", "operational", "task", "finding", "reference"]
 PRIORITY_ORDER = ["high", "medium", "low"]
-PER_INJECTION, PER_SESSION, PER_TURN = 1500, 8000, 500
+PER_SESSION, PER_TURN = 8000, 500
 PER_KIND = {"directive": 400, "gotcha": 100, "operational": 250}
 FULL_TEXT_KINDS = ["directive", "gotcha", "operational"]
 THETA = {"directive": 0.72, "gotcha": 0.72, "operational": 0.75, "task": 0.75, "finding": 0.78, "reference": 0.80}
 COOLDOWN_TURNS = 10
 GATE_LEAST, GATE_ITEMS, GATE_CHARS, GATE_WEAK, GATE_RING = 0.35, 3, 800, 1, 30
-AXES = ["path", "event", "symbol", "semantic", "command"]
 EVENTS = ["session-start", "prompt-submit", "pre-edit", "post-edit", "pre-command", "post-compaction", "session-end"]
 
 _TRIGGER = "struct<path:string,event:string,symbol:string,semantic:boolean,command:string,not_before:double,expires_visibility:double,cooldown:double>"

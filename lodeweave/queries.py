@@ -197,7 +197,7 @@ def rank_composite(spark, d):
 @query("SELECT min(doc_id) AS doc_id, count(*) - 1 AS dup_count FROM documents WHERE text IS NOT NULL GROUP BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
 def exact_dedup_count(spark, d):
     docs = _docs(spark, d).filter("text is not null").select("doc_id", "text")
-    return search.collapse_copies(docs, "doc_id", "text", [F.asc("doc_id")]).select("doc_id", "dup_count")
+    return search.collapse_copies(docs, "doc_id", "text", [F.col("doc_id")]).select("doc_id", "dup_count")
 
 
 @query()
@@ -208,7 +208,7 @@ def search_chunks(spark, d):
 @query()
 def near_dup_collapse(spark, d):
     page = search.top(search.bm25(_chunks(spark, d), QUERY, "chunk_id", "content").join(_chunks(spark, d), "chunk_id"), "bm25", "chunk_id", 200)
-    page = search.collapse_copies(page, "chunk_id", "content", [F.desc("bm25")]).withColumn("place", F.row_number().over(Window.orderBy(F.desc("bm25"), "chunk_id")))
+    page = search.collapse_copies(page, "chunk_id", "content", [-F.col("bm25")]).withColumn("place", F.row_number().over(Window.orderBy(F.desc("bm25"), "chunk_id")))
     return search.collapse_near_copies(page, "chunk_id", "content", "node_type", "place").select("chunk_id", "dup_count")
 
 

@@ -52,23 +52,34 @@ def ignore_rules(lines: list[str]) -> dict[str, list[str]]:
 
 def read_manifest(spark: SparkSession, folder: str, version: int) -> DataFrame:
     """(path, mtime) of a manifest of this version; empty if there is none, so that everything counts as new."""
-    try:
-        return spark.read.parquet(folder).filter(F.col("version") == version).select("path", "mtime")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    done = sorted(_complete(spark, folder))
+    if not done:
         return spark.createDataFrame([], "path string, mtime double")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{done[-1]}").filter(F.col("version") == version).select("path", "mtime")
 
 
 def write_manifest(files: DataFrame, folder: str, version: int) -> None:
-    """A manifest, written beside the old one and then moved into its place."""
+    """A manifest in a folder of its own beside the older ones; it counts from the moment its _SUCCESS file is there, and older ones go after that."""
     spark = files.sparkSession
-    staging = folder.rstrip("/") + ".staging"
-    files.select("path", "mtime", F.lit(version).alias("version")).write.mode("overwrite").parquet(staging)
+    old = _complete(spark, folder)
+    new = f"{max([int(x) for x in old], default=0) + 1:010d}"
+    base = folder.rstrip("/")
+    files.select("path", "mtime", F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{base}/{new}")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(folder), True)
-    fs.rename(path(staging), path(folder))
+    for x in sorted(old)[:-1]:  # the last one stays for readers that have just begun
+        fs.delete(path(f"{base}/{x}"), True)
+
+
+def _complete(spark: SparkSession, folder: str) -> list[str]:
+    """The manifests below a folder that have been written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    return [x for x in names if x.isdigit() and fs.exists(path(f"{folder.rstrip('/')}/{x}/_SUCCESS"))]
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
