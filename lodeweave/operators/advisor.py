@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of the pressure.
 TOKENS, TOOL_CALLS, RETRIEVALS, SECONDS = 40_000, 10, 1, 180.0
-REARM_RETRIEVALS, MOST_REFETCH = 4, 5
+REARM_RETRIEVALS, MOST_REFETCH = 4, 5  # further retrievals after which a hint may be given again
 
 
 def running_pressure(calls: DataFrame) -> DataFrame:
@@ -30,6 +33,31 @@ def running_pressure(calls: DataFrame) -> DataFrame:
     return rows.withColumn("should_evict", over)
 
 
+def _hints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    session, last = None, None
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.session_id != session:
+                session, last = r.session_id, None
+            if not r.should_evict:
+                continue
+            grown = last is None or r.tokens - last[0] >= TOKENS or r.retrievals - last[1] >= REARM_RETRIEVALS or r.elapsed - last[2] >= SECONDS
+            if grown:
+                last = (r.tokens, r.retrievals, r.elapsed)
+                out.append((r.session_id, r.seq))
+        yield pd.DataFrame(out, columns=["session_id", "seq"])
+
+
+def hints(pressure: DataFrame) -> DataFrame:
+    """(session_id, seq) at which running_pressure's rows give a hint: when it first is too much, and again after 40,000 tokens, four retrievals or 180 seconds more.
+
+    A session is read as a stream within its task; only its last hint is held.
+    """
+    rows = pressure.select("session_id", "seq", "tokens", "retrievals", "elapsed", "should_evict").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return rows.mapInPandas(_hints, "session_id string, seq long")
+
+
 def refetch_keys(calls: DataFrame, most: int = MOST_REFETCH) -> DataFrame:
     """(session_id, chunk_key, place): the chunks retrieved last."""
     last = calls.filter("chunk_key is not null").groupBy("session_id", "chunk_key").agg(F.max("seq").alias("seq"))

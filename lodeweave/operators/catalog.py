@@ -68,6 +68,29 @@ def pending_purpose(chunks: DataFrame, purpose: DataFrame) -> DataFrame:
     return need.join(purpose.select("chunk_id"), "chunk_id", "left_anti").groupBy("file_path").agg(F.count(F.lit(1)).alias("missing"))
 
 
+def chunks_of_files(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """chunks of the files of paths(path)."""
+    return chunks.join(small(paths.select(F.col("path").alias("file_path")).distinct()), "file_path", "left_semi")
+
+
+def readme_snippets(docs: DataFrame, path: str = "path", text: str = "text", chars: int = 1500) -> DataFrame:
+    """docs whose file is a readme, with snippet: the first characters of the text."""
+    return docs.filter(F.lower(path).rlike(r"(^|/)readme[^/]*$") & F.col(text).isNotNull()).withColumn("snippet", F.substring(F.col(text), 1, chars))
+
+
+def status(chunks: DataFrame, symbols: DataFrame, notes: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(workspace, files, chunks, symbols, notes, episodes): what there is of each indexed workspace."""
+    out = chunks.select("workspace", "chunk_id", "file_path").dropDuplicates(["chunk_id"]).groupBy("workspace").agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
+    others = [
+        (symbols.select("workspace", "name", "kind", "file_path", "start_line").distinct(), "symbols"),
+        (notes.filter("valid_until is null").select("workspace", "note_id").distinct(), "notes"),
+        (episodes.select("workspace", "id").distinct(), "episodes"),
+    ]
+    for rows, name in others:
+        out = out.join(rows.groupBy("workspace").agg(F.count(F.lit(1)).alias(name)), "workspace", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
 def fetch(chunks: DataFrame, ids: list[str], most: int = MOST_IDS) -> DataFrame:
     """(pos, requested_id, found, reason, nearest, content) of chunks by id, in the order asked for.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodeweave.operators.chunking import chunk_id, markdown_sections, postprocess, underlined_sections, window_chunks
 
 LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
-#: Names that look like headers of functions, but are statements.
+# Reserved words of the languages; what looks like a header of a function may be a statement of one.
 RESERVED = {
     "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
     "java": "assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface new package return static super switch synchronized this throw throws try void while",

@@ -252,6 +252,47 @@ def communities(links: DataFrame, rounds: int = 6, least: int = 2) -> DataFrame:
     return labels.join(n.drop("_n"), ["workspace", "community"], "left_semi").select("workspace", "file_path", "community")
 
 
+def enclosed(symbols: DataFrame) -> DataFrame:
+    """(workspace, file_path, name, start_line, owner, depth): the innermost type around each symbol and how many symbols hold it.
+
+    A join within files, so its size is bounded by the nesting of their symbols.
+    """
+    rows = unique_symbols(symbols).select("workspace", "file_path", "name", "kind", "start_line", F.coalesce("end_line", "start_line").alias("end_line"))
+    around = rows.select("workspace", "file_path", F.col("name").alias("_n"), F.col("kind").alias("_k"), F.col("start_line").alias("_a"), F.col("end_line").alias("_z"))
+    inside = (F.col("_a") < F.col("start_line")) & (F.col("start_line") <= F.col("_z"))
+    pairs = rows.join(around, ["workspace", "file_path"]).filter(inside)
+    types = [k for k, r in KIND_RANK.items() if k not in ("function", "method", "constant", "alias")]
+    owner = F.max_by(F.when(F.col("_k").isin(types), F.col("_n")), F.when(F.col("_k").isin(types), F.struct("_a", "_n")))
+    found = pairs.groupBy("workspace", "file_path", "name", "start_line").agg(owner.alias("owner"), F.countDistinct("_a", "_n").alias("depth"))
+    return rows.select("workspace", "file_path", "name", "start_line").distinct().join(found, ["workspace", "file_path", "name", "start_line"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
+
+
+def qualifier_likeness(qualifier: str, owner: Column, path: Column) -> list[Column]:
+    """How like an asked qualifier a symbol's type, then its path is: shares of the letters that need no edit; in descending order first."""
+    like = lambda c: 1 - F.levenshtein(F.lower(F.coalesce(c, F.lit(""))), F.lit(qualifier.lower())) / F.greatest(F.length(F.coalesce(c, F.lit(""))), F.lit(max(1, len(qualifier))))
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return [F.round(like(owner), 6), F.round(like(stem), 6)]
+
+
+def locate_ranked(symbols: DataFrame, workspace: str, name: str, limit: int = 10) -> DataFrame:
+    """(name, kind, file_path, start_line, owner, depth): symbols that hold an asked name, in the whole order: place of the name, kind,
+    tests last, outer before inner, members of a type before others, size, length, path. Of Type.name the type's likeness goes first."""
+    qualifier, _, short = name.replace(":", ".").rpartition(".")
+    rows = unique_symbols(symbols).filter((F.col("workspace") == workspace) & F.col("name").ilike(f"%{short}%"))
+    files = rows.select("workspace", "file_path").distinct()
+    place = enclosed(symbols.filter(F.col("workspace") == workspace).join(files, ["workspace", "file_path"], "left_semi"))
+    rows = rows.join(place, ["workspace", "file_path", "name", "start_line"])
+    first, kind, test, span, length, path, line, symbol = match_order(short)
+    likeness = [x.desc() for x in qualifier_likeness(qualifier, F.col("owner"), F.col("file_path"))] if qualifier else []
+    order = [*likeness, first, kind, test, F.col("depth"), F.when(F.col("owner").isNotNull(), 0).otherwise(1), span, length, path, line, symbol]
+    return rows.orderBy(*order).limit(limit).select("name", "kind", "file_path", "start_line", "owner", "depth")
+
+
+def is_current(meta: DataFrame, stamp: Column) -> DataFrame:
+    """(workspace, current): whether a graph of meta(workspace, stamp, complete) was built to its end by today's tools."""
+    return meta.select("workspace", (F.col("complete") & (F.col("stamp") == stamp)).alias("current"))
+
+
 def signature_hash(text: Column) -> Column:
     """16 digits of a snippet, that change when it does."""
     return F.substring(F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256), 1, 16)

@@ -120,9 +120,10 @@ def metadata_match(notes: DataFrame, query: str) -> DataFrame:
     """(note_id, fields, length): how many declared fields (title words, tags, anchor paths) a query names, and the longest name."""
     text = F.lit(query.lower())
     words = title_tokens(text)
-    titles = F.array_intersect(title_tokens(F.col("title")), words)
-    tags = F.filter("tags", lambda t: text.contains(F.lower(t)))
-    anchors = F.filter(F.transform("anchors", lambda a: a["path"]), lambda p: text.contains(F.lower(p)))
+    none = F.array().cast("array<string>")
+    titles = F.array_intersect(title_tokens(F.coalesce("title", F.lit(""))), words)
+    tags = F.filter(F.coalesce("tags", none), lambda t: text.contains(F.lower(t)))
+    anchors = F.filter(F.coalesce(F.transform("anchors", lambda a: a["path"]), none), lambda p: text.contains(F.lower(p)))
     longest = F.array_max(F.transform(F.concat(titles, tags, anchors), lambda x: F.length(x)))
     fields = (F.size(titles) > 0).cast("int") + (F.size(tags) > 0).cast("int") + (F.size(anchors) > 0).cast("int")
     return unique_notes(notes).select("note_id", fields.alias("fields"), F.coalesce(longest, F.lit(0)).alias("length")).filter("fields > 0")
@@ -302,11 +303,20 @@ def parse_markdown(exported: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("_b", r"^(\d+)\]", 1).try_cast("long").alias("note_id"), "kind", F.regexp_replace(F.regexp_extract("_b", r"(?s)^[^\n]*\n[^\n]*\n\n(.*)$", 1), r"\n+$", "").alias("content")).filter("note_id is not null")
 
 
-def edit_plan(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(note_id, operation) between two (note_id, kind, content) tables: remember, supersede, field_update or forget."""
+def edit_plan(before: DataFrame, after: DataFrame, forgotten: DataFrame | None = None) -> DataFrame:
+    """(note_id, operation) between two (note_id, kind, content) tables: remember, supersede, field_update, revoke, or forget for those of forgotten(note_id)."""
     a, b = before.select("note_id", F.col("kind").alias("k0"), F.col("content").alias("c0"), F.lit(1).alias("_a")), after.select("note_id", F.col("kind").alias("k1"), F.col("content").alias("c1"), F.lit(1).alias("_b"))
-    op = F.when(F.col("_a").isNull(), "remember").when(F.col("_b").isNull(), "forget").when(~F.col("c0").eqNullSafe(F.col("c1")), "supersede").when(~F.col("k0").eqNullSafe(F.col("k1")), "field_update")
-    return a.join(b, "note_id", "full").select("note_id", op.alias("operation")).filter("operation is not null")
+    op = F.when(F.col("_a").isNull(), "remember").when(F.col("_b").isNull(), "revoke").when(~F.col("c0").eqNullSafe(F.col("c1")), "supersede").when(~F.col("k0").eqNullSafe(F.col("k1")), "field_update")
+    plan = a.join(b, "note_id", "full").select("note_id", op.alias("operation")).filter("operation is not null")
+    if forgotten is None:
+        return plan
+    marked = forgotten.select("note_id", F.lit(True).alias("_f")).distinct()
+    return plan.join(marked, "note_id", "left").select("note_id", F.when((F.col("operation") == "revoke") & F.coalesce("_f", F.lit(False)), "forget").otherwise(F.col("operation")).alias("operation"))
+
+
+def list_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots, the newest first."""
+    return snapshots.orderBy(F.desc("created_at"), "workspace", "label")
 
 
 def bind_quote(content: Column, quote: Column, least: int = 12) -> Column:

@@ -1,7 +1,7 @@
 """Trigger rules of notes against lifecycle moments, their order, and packing under budgets.
 
-A moment is a row (moment_id, workspace, event, file_path, command_verb, session_id, branch, ts); rules are evaluated as
-expressions over each note's array of triggers, notes joined to moments by workspace.
+A moment is a row (moment_id, workspace, event, file_path, command_verb, session_id, branch, ts). Rules are rows of their own,
+joined to moments by what they name: a path without wildcards, else an event, else the workspace alone.
 """
 
 from __future__ import annotations
@@ -90,14 +90,22 @@ def fire(notes: DataFrame, events: DataFrame, moments: DataFrame, symbols: DataF
         m = m.join(symbols.select(F.col("moment_id").alias("m_moment_id"), F.col("names").alias("m_names")), "m_moment_id", "left")
     else:
         m = m.withColumn("m_names", F.lit(None).cast("array<string>"))
-    pairs = rows.join(m, F.col("workspace") == F.col("m_workspace"))
+    root = F.concat(F.col("m_workspace"), F.lit("/"))
+    m = m.withColumn("m_below", F.when(F.col("m_file_path").startswith(root), F.substring("m_file_path", F.length(root) + 1, F.length("m_file_path"))).otherwise(F.col("m_file_path")))
+    rules = effective_triggers(F.col("triggers"), F.col("kind"), F.col("anchors"), F.col("priority"))
+    rows = rows.select("note_id", "workspace", "scope", "branch", "session_id", "anchors", "last_fired", F.posexplode(rules).alias("_at", "_t"))
+    exact = F.coalesce(~F.col("_t.path").rlike(r"[*?]"), F.lit(False))
+    forms = m.withColumn("m_form", F.explode(F.array_distinct(F.array("m_file_path", "m_below"))))
+    here = F.col("workspace") == F.col("m_workspace")
+    pairs = rows.filter(exact).join(forms, here & (F.col("_t.path") == F.col("m_form"))).drop("m_form")
+    pairs = pairs.unionByName(rows.filter(~exact & F.col("_t.event").isNotNull()).join(m, here & (F.col("_t.event") == F.col("m_event"))))
+    pairs = pairs.unionByName(rows.filter(~exact & F.col("_t.event").isNull()).join(m, here))
     if semantic is not None:
         hit = semantic.select(F.col("moment_id").alias("m_moment_id"), "note_id", F.lit(True).alias("m_semantic"))
         pairs = pairs.join(hit, ["m_moment_id", "note_id"], "left")
     else:
         pairs = pairs.withColumn("m_semantic", F.lit(None).cast("boolean"))
-    root = F.concat(F.col("m_workspace"), F.lit("/"))
-    below = F.when(F.col("m_file_path").startswith(root), F.substring("m_file_path", F.length(root) + 1, F.length("m_file_path"))).otherwise(F.col("m_file_path"))
+    below = F.col("m_below")
 
     def holds(t: Column) -> Column:
         none = t["path"].isNull() & t["event"].isNull() & t["symbol"].isNull() & ~F.coalesce(t["semantic"], F.lit(False)) & t["command"].isNull()
@@ -111,12 +119,10 @@ def fire(notes: DataFrame, events: DataFrame, moments: DataFrame, symbols: DataF
         rested = t["cooldown"].isNull() | F.col("last_fired").isNull() | (F.col("m_ts") - F.col("last_fired") >= t["cooldown"])
         return ~none & path & event & symbol & meaning & command & begun & rested
 
-    rules = effective_triggers(F.col("triggers"), F.col("kind"), F.col("anchors"), F.col("priority"))
-    pairs = pairs.filter(scope_permits(F.coalesce(below, F.lit("")))).withColumn("_rules", rules)
-    at = F.array_position(F.transform("_rules", lambda t: holds(t)), F.lit(True)) - 1
-    pairs = pairs.withColumn("trigger_index", at.cast("int")).filter("trigger_index >= 0")
-    shown = F.element_at("_rules", F.col("trigger_index") + 1)["expires_visibility"]
-    return pairs.select(F.col("m_moment_id").alias("moment_id"), "note_id", "trigger_index", F.coalesce(F.col("m_ts") >= shown, F.lit(False)).alias("faded"))
+    pairs = pairs.filter(scope_permits(F.coalesce(below, F.lit(""))) & holds(F.col("_t")))
+    faded = F.coalesce(F.col("m_ts") >= F.col("_t.expires_visibility"), F.lit(False))
+    first = pairs.groupBy(F.col("m_moment_id").alias("moment_id"), "note_id").agg(F.min(F.struct("_at", faded.alias("faded"))).alias("_f"))
+    return first.select("moment_id", "note_id", F.col("_f._at").alias("trigger_index"), "_f.faded")
 
 
 def semantic_matches(scores: DataFrame, notes: DataFrame) -> DataFrame:

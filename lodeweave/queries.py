@@ -254,18 +254,6 @@ def path_predicates(spark, d):
     return _chunks(spark, d).select("file_path").distinct().select("file_path", quality.is_generated_file(f).alias("generated"), quality.is_test_file(f).alias("test"))
 
 
-@query()
-def quality_score_case(spark, d):
-    c = _chunks(spark, d)
-    args = [F.col(x) for x in ("content", "file_path", "language", "node_type", "symbol_name")]
-    return c.select("chunk_id", F.round(quality.quality_score(*args), 6).alias("quality"), quality.demotion_reason(*args).alias("reason"))
-
-
-@query()
-def trivial_filter(spark, d):
-    return chunking.postprocess(_chunks(spark, d)).select("chunk_id", "node_type")
-
-
 @query("SELECT chunk_id, nullif(regexp_extract(content, '(?m)^\\s*# class: (\\w+)\\s*$', 1), '') AS owner FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks) WHERE owner IS NOT NULL")
 def owner_class(spark, d):
     return _chunks(spark, d).select("chunk_id", quality.owner_class(F.col("content")).alias("owner")).filter("owner is not null")
@@ -306,21 +294,6 @@ def python_calls(spark, d):
     return chunking.python_calls(_files(spark, d).filter("path like '%.py'"))
 
 
-@query()
-def http_routes(spark, d):
-    return chunking.routes(_files(spark, d))
-
-
-@query()
-def import_graph(spark, d):
-    return chunking.import_graph(_files(spark, d))
-
-
-@query()
-def purpose_text(spark, d):
-    return chunking.purpose_text(_chunks(spark, d))
-
-
 @query(
     "WITH m AS (SELECT workspace, id, cmd_raw, row_number() OVER (PARTITION BY workspace ORDER BY id DESC) AS r FROM (SELECT DISTINCT ON (id) * FROM episodes)), g AS (SELECT workspace, string_agg(coalesce(cmd_raw, ''), chr(10) ORDER BY id) AS j FROM m WHERE r <= 20 GROUP BY workspace) SELECT workspace, CASE WHEN length(j) <= 2000 THEN j ELSE right(j, 2000) END AS window_text FROM g"
 )
@@ -398,11 +371,6 @@ def corpus_fingerprint(spark, d):
     return catalog.fingerprint(docs).drop("doc_ratio")
 
 
-@query()
-def strategy_weights(spark, d):
-    return catalog.strategy(catalog.fingerprint(_docs(spark, d).select(F.col("lang").alias("language"), "text")))
-
-
 @query("SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{3,}\\b')) AS term FROM documents) GROUP BY term HAVING n >= 3 ORDER BY n DESC, term LIMIT 20")
 def domain_terms(spark, d):
     return catalog.domain_terms(_docs(spark, d))
@@ -500,11 +468,6 @@ def edge_aggregate_callees(spark, d):
     return graph.callees(table(spark, d, "edges"), table(spark, d, "symbols"), WS, name)
 
 
-@query()
-def trace_symbol(spark, d):
-    return graph.trace(table(spark, d, "edges"), table(spark, d, "symbols"), WS, _top_callee(spark, d))
-
-
 @query("SELECT workspace, to_symbol, count(DISTINCT from_symbol) AS callers FROM edges WHERE from_symbol IS NOT NULL GROUP BY ALL")
 def caller_in_degree(spark, d):
     return graph.in_degree(table(spark, d, "edges"))
@@ -534,21 +497,6 @@ def name_frequency(spark, d):
     return _round(graph.name_frequency(_docs(spark, d), table(spark, d, "symbols").select("name")), "importance")
 
 
-@query()
-def pagerank(spark, d):
-    return _round(graph.page_rank(table(spark, d, "edges"), table(spark, d, "symbols")), "importance")
-
-
-@query()
-def module_communities(spark, d):
-    return graph.communities(graph.file_links(table(spark, d, "edges"), table(spark, d, "symbols")))
-
-
-@query()
-def symbol_definitions(spark, d):
-    return graph.definitions(table(spark, d, "symbols"), WS, _some_name(spark, d)).select("name", "kind", "file_path", "start_line")
-
-
 @query("SELECT workspace, count(*) AS symbols FROM (SELECT DISTINCT workspace, name, kind, file_path, start_line FROM symbols) GROUP BY workspace")
 def symbol_count(spark, d):
     return graph.unique_symbols(table(spark, d, "symbols")).groupBy("workspace").agg(F.count(F.lit(1)).alias("symbols"))
@@ -681,16 +629,6 @@ def revoked_knn(spark, d):
     return _round(memory.related(_note_vectors(spark, d), _note_events(spark, d), 7, state="revoked", limit=1, least=-1.0), "score")
 
 
-@query()
-def semantic_recall(spark, d):
-    return _round(memory.semantic_recall(_notes(spark, d), _note_events(spark, d), _note_vectors(spark, d), WS, _vec0(spark, d)).select("note_id", "score"), "score")
-
-
-@query()
-def snapshot_roundtrip(spark, d):
-    return memory.restore_snapshot(memory.snapshot(_notes(spark, d), _note_events(spark, d), WS, "check", NOW)).select("place", "note_id", "kind", "title")
-
-
 @query(f"WITH {_ALL} SELECT note_id, kind FROM l")
 def export_markdown(spark, d):
     return memory.parse_markdown(memory.export_markdown(_notes(spark, d), _note_events(spark, d), WS)).select("note_id", "kind")
@@ -705,11 +643,6 @@ def note_staleness(spark, d):
     return memory.staleness(_notes(spark, d), files).select("note_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
-def metadata_match(spark, d):
-    return memory.metadata_match(_notes(spark, d), "orphan store module idle src/vahel/transport.py")
-
-
 @query("SELECT file_path, string_agg(start_line || '-' || end_line, ', ' ORDER BY start_line, end_line) AS ranges FROM (SELECT DISTINCT file_path, start_line, end_line FROM chunks) GROUP BY file_path")
 def eviction_groups(spark, d):
     return memory.eviction_groups(table(spark, d, "chunks"))
@@ -739,11 +672,6 @@ def trigger_eval(spark, d):
     return triggers.fire(_notes(spark, d), _note_events(spark, d), m).select("moment_id", "note_id", "trigger_index")
 
 
-@query()
-def trigger_on_edit(spark, d):
-    return triggers.fire(_notes(spark, d), _note_events(spark, d), _moments(spark, d))
-
-
 @query(
     f"WITH {_ALL} SELECT note_id, row_number() OVER (ORDER BY coalesce(list_position(['directive', 'gotcha', 'operational', 'task', 'finding', 'reference'], kind), 7), coalesce(list_position(['high', 'medium', 'low'], priority), 4), CASE WHEN kind = 'task' THEN 0.0 ELSE coalesce(last_fired, last_accessed, 0.0) END DESC, CASE WHEN kind = 'task' THEN -note_id ELSE note_id END)::INT AS place FROM l"
 )
@@ -752,11 +680,6 @@ def trigger_total_order(spark, d):
     return rows.select("note_id", F.row_number().over(Window.partitionBy("workspace").orderBy(*triggers.total_order())).alias("place"))
 
 
-@query()
-def invalid_triggers(spark, d):
-    return triggers.invalid_triggers(memory.unique_notes(_notes(spark, d)))
-
-
 def _items(spark, d) -> DataFrame:
     rows = memory.without_expired(memory.live(_notes(spark, d)), _note_events(spark, d))
     return rows.withColumn("full_text", F.coalesce("content", F.lit(""))).withColumn("index_text", F.concat(F.lit("["), F.col("note_id").cast("string"), F.lit("] "), F.coalesce("title", F.lit(""))))
@@ -916,11 +839,6 @@ def token_estimate(spark, d):
     return _docs(spark, d).select("doc_id", F.when(F.col("text").isNotNull(), text.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query()
-def trim_to_cap(spark, d):
-    return _docs(spark, d).filter("text is not null").select("doc_id", F.md5(text.trim_to_cap(F.col("text"), 100)).alias("trimmed"))
-
-
 @query(
     "WITH s AS (SELECT DISTINCT * FROM daemon_status), l AS (SELECT regexp_replace(workspace_root, '/+$', '') AS workspace, unnest(languages) AS l FROM s) SELECT workspace, l.language AS language, max(l.files) AS files, max(l.chunks) AS chunks FROM l GROUP BY ALL"
 )
@@ -948,25 +866,11 @@ def encryption_roundtrip(spark, d):
     return n.select("note_id", binding.decrypt(binding.encrypt(F.col("content"), key), key).alias("content"))
 
 
-@query()
-def request_keys(spark, d):
-    e = episodes.unique_episodes(table(spark, d, "episodes"))
-    args = F.create_map(F.lit("cwd"), F.coalesce("cwd", F.lit("")), F.lit("command"), F.coalesce("cmd_raw", F.lit("")))
-    return e.select(binding.canonical_key(F.lit("search"), args, F.lit(1)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def one_line_notes(spark, d):
-    return memory.unique_notes(_notes(spark, d)).select("note_id", binding.one_line(F.col("content"), 80).alias("line"))
-
-
-@query()
-def code_questions(spark, d):
-    rows = _docs(spark, d).filter("text is not null").select("doc_id", binding.asks_for_code(F.col("text")).alias("a"))
-    return rows.select("doc_id", "a.needs_tool", "a.confidence")
-
-
 @query("SELECT workspace, coalesce(len(list_distinct(list(path) FILTER (regexp_matches(path, '/(package\\.json|pyproject\\.toml|go\\.mod|Cargo\\.toml|pom\\.xml)$')))), 0) >= 3 AS monorepo FROM source_files GROUP BY workspace")
 def monorepos(spark, d):
     files = table(spark, d, "source_files").groupBy("workspace").agg(F.collect_set(F.when(F.col("path").rlike(r"(package\.json|\.toml|go\.(mod|work)|pom\.xml|lerna\.json|pnpm-workspace\.yaml|nx\.json|turbo\.json|WORKSPACE)$"), F.col("path"))).alias("p"))
     return files.select("workspace", binding.is_monorepo(F.col("p")).alias("monorepo"))
+
+
+import lodeweave.queries_more  # noqa: E402, F401 - registers its queries, with what stands above
+import lodeweave.queries_notes  # noqa: E402, F401

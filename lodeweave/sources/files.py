@@ -87,6 +87,32 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("language").parquet(folder)
 
 
+def write_note_bodies(exported: DataFrame, folder: str) -> None:
+    """An exported projection (kind, body) of the notes, one file of text."""
+    exported.select(F.struct("kind", "body").alias("_s")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_s")), lambda x: x["body"]), "\n").alias("value")).write.mode("overwrite").text(folder)
+
+
+def read_note_body(root: str, path: str, most_bytes: int = 200_000, also: tuple[str, ...] = ()) -> str:
+    """The text of a file below root or one of the other folders; an error for files elsewhere, links out of them, and larger files."""
+    from pathlib import Path
+
+    whole = (Path(root) / path).resolve()
+    if not any(whole.is_relative_to(Path(r).resolve()) for r in (root, *also)):
+        raise ValueError(f"{path} lies outside of {root}")
+    if whole.stat().st_size > most_bytes:
+        raise ValueError(f"{path} has more than {most_bytes} bytes")
+    return whole.read_text("utf-8", "replace")
+
+
+def write_passport(row: DataFrame, folder: str) -> None:
+    """A summary of one row, as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def read_passport(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(folder)
+
+
 def write_audit(rows: DataFrame, folder: str) -> None:
     """Audit lines key=value, appended."""
     pairs = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])
