@@ -27,9 +27,14 @@ def quality_weight(text: Column) -> Column:
     return F.lit(0.1) + F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens, weight) of every document with a key, a source and at least one token; repeated rows once."""
-    rows = docs.select(F.col(key).alias("doc_id"), source_name(F.col(source)).alias("source"), quality_weight(F.col(text)).alias("weight"), F.col(text).alias("_text"))
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, tokens, weight) of every document with a key, a source and at least one token; repeated rows once.
+
+    weight names a column with the quality of a document, from any judge of it; NULL, NaN and what is not over 0 count as its
+    least use, 1e-6. Without one the share of letters stands in for it.
+    """
+    quality = quality_weight(F.col(text)) if weight is None else F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(None).cast("double")), F.lit(0.0)), F.lit(1e-6))
+    rows = docs.select(F.col(key).alias("doc_id"), source_name(F.col(source)).alias("source"), quality.alias("weight"), F.col(text).alias("_text"))
     rows = count_tokens(rows.filter("doc_id is not null and source is not null and _text is not null"), "_text", vocabulary)
     return cut(rows.filter("tokens > 0").dropDuplicates(["doc_id", "source", "tokens"]))
 
@@ -64,6 +69,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     misses its budget by at most half the tokens of one document. Documents with NULL or empty text, NULL key or
     NULL source, or with a source that is no target, are not used; sources are compared by source_name().
     Targets with NULL or no positive share or under 1 repeat are left out, those of one name are added up.
+    columns may name other key, text and source columns, and in weight that of the documents' quality; see measured().
     Keys tie only if ids do; then order is by tokens. Empty tables give empty results; other columns are
     ignored. The result depends on the documents and the seed alone, not on their order or partitions.
     """

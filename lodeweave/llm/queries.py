@@ -28,6 +28,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).select("chunk_id").distinct()
 
 
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each chunk that is cut: whether all of its pieces fit, are numbered without a gap, stand in it, and reach from its beginning to its end."""
+    pieces = p1_pieces(spark, d)
+    limits = table(spark, d, "piece_limits").groupBy("node_type").agg(F.min("max_chars").alias("max_chars"))
+    whole = table(spark, d, "chunks").select("chunk_id", F.col("content").alias("whole")).dropDuplicates(["chunk_id"])
+    rows = pieces.join(F.broadcast(limits), "node_type").join(whole, "chunk_id")
+    last = F.max_by(F.col("whole").endswith(F.col("content")), "piece_no")
+    return rows.groupBy("chunk_id").agg(
+        F.every(F.length("content") <= F.col("max_chars")).alias("fits"),
+        (F.max("piece_no") + 1 == F.count(F.lit(1))).alias("numbered"),
+        F.every(F.contains("whole", "content")).alias("inside"),
+        (F.min_by(F.col("whole").startswith(F.col("content")), "piece_no") & last & (F.sum(F.length("content")) + F.count(F.lit(1)) - 1 >= F.max(F.length("whole")))).alias("complete"),
+    )
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(table(spark, d, "chunks"))
 
@@ -131,6 +146,21 @@ _CANON = rf"trim(regexp_replace(regexp_replace(regexp_replace(cmd_raw, '\b({_HEX
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN piece_limits USING (node_type) WHERE length(content) > max_chars",
+        "p1_whole": """
+            SELECT DISTINCT chunk_id, true AS fits, true AS numbered, true AS inside, true AS complete FROM chunks JOIN piece_limits USING (node_type) WHERE length(content) > max_chars""",
+        "p3_groups": """
+            WITH n AS (SELECT DISTINCT note_id, workspace, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS w FROM notes WHERE content IS NOT NULL AND workspace IS NOT NULL),
+            m AS (SELECT workspace, note_id, w, min(note_id) OVER (PARTITION BY workspace, w) AS class_id FROM n WHERE len(w) > 0), c AS (SELECT DISTINCT workspace, class_id, w FROM m),
+            p AS (SELECT a.workspace, a.class_id AS x, b.class_id AS y FROM c a JOIN c b ON a.workspace = b.workspace AND a.class_id < b.class_id
+                  AND 10 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+            g AS (SELECT workspace, class_id, count(*) AS links FROM (SELECT workspace, x AS class_id FROM p UNION ALL SELECT workspace, y FROM p) GROUP BY ALL)
+            SELECT workspace, note_id, class_id, coalesce(links, 0) AS links FROM m LEFT JOIN g USING (workspace, class_id)""",
+        "p6_runs": f"""
+            WITH e AS (SELECT DISTINCT session_id, ts, id, CASE WHEN lower(tool) = 'edit' OR cmd_raw IS NULL OR trim(cmd_raw) = '' THEN NULL ELSE {_CANON} END AS c
+                       FROM episodes WHERE session_id IS NOT NULL AND ts IS NOT NULL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) - row_number() OVER (PARTITION BY session_id, c ORDER BY ts, id) AS g FROM e)
+            SELECT session_id, arg_min(id, (ts, id)) AS first_id, arg_max(id, (ts, id)) AS last_id, count(*) AS run_length, min(ts) AS start_ts, max(ts) AS end_ts, max(ts) - min(ts) AS duration_s, c AS command
+            FROM r WHERE c IS NOT NULL GROUP BY session_id, c, g HAVING count(*) > 1""",
         "p3_found": """
             WITH n AS (SELECT DISTINCT note_id, workspace, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS w FROM notes WHERE content IS NOT NULL),
             p AS (SELECT a.note_id AS x, b.note_id AS y, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS s
