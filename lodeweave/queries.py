@@ -174,12 +174,6 @@ def union_signals_topk(spark, d):
     return search.union_of_signals(h, "doc_id").select("doc_id")
 
 
-@query()
-def embed_documents(spark, d):
-    rows = _docs(spark, d).filter("text is not null").select("doc_id", vectors.embed(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.round(vectors.norm(F.col("v")), 6).alias("length"))
-
-
 @query(
     _HYBRID
     + ", r AS (SELECT doc_id, row_number() OVER (ORDER BY round(hybrid, 9) DESC, doc_id) - 1 AS i FROM h QUALIFY i < 200), c AS (SELECT r.doc_id, (1 - i / 200.0) * CASE WHEN lang IN ('markdown', 'text') THEN 0.7 ELSE 1.0 END AS s FROM r LEFT JOIN documents USING (doc_id)) SELECT doc_id, round(s, 6) AS score FROM c ORDER BY round(s, 9) DESC, doc_id LIMIT 20"
@@ -279,11 +273,6 @@ def markdown_sections(spark, d):
     return chunking.markdown_sections(_docs(spark, d).filter("lang = 'markdown'"), "doc_id").drop("content")
 
 
-@query()
-def rst_sections(spark, d):
-    return chunking.underlined_sections(_docs(spark, d), "doc_id").select("path", "section_no", "start_line", "end_line")
-
-
 @query()
 def python_definitions(spark, d):
     return chunking.python_definitions(_files(spark, d).filter("path like '%.py'")).select("path", "chunk_id", "node_type", "symbol_name", "owner", "error")
@@ -381,12 +370,6 @@ def extension_languages(spark, d):
     return catalog.extension_languages(table(spark, d, "source_files"))
 
 
-@query()
-def directory_sketch(spark, d):
-    files = table(spark, d, "source_files").select(text.relative_path(F.col("path"), F.lit("/srv/ws")).alias("path"))
-    return catalog.directory_sketch(files)
-
-
 @query(
     "WITH p AS (SELECT DISTINCT path FROM source_files), m AS (SELECT path, CASE WHEN regexp_matches(path, '^.*/tests/.*$') THEN 0 WHEN regexp_matches(path, '^.*\\.json$') THEN 1 END AS pos FROM p) SELECT CASE pos WHEN 0 THEN 'testing' ELSE 'config' END AS domain, CASE pos WHEN 0 THEN '*/tests/*' ELSE '*.json' END AS glob, path FROM m WHERE pos IS NOT NULL ORDER BY pos, path LIMIT 20"
 )

@@ -186,6 +186,29 @@ def owners_found(spark, d):
     return found.join(asked, ["file_path", "name", "start_line"], "left_semi").join(types, ["file_path", "owner"], "left_semi").select("file_path", "name", "start_line", "owner")
 
 
+@query(
+    "WITH p AS (SELECT DISTINCT CASE WHEN starts_with(path, '/srv/ws/') THEN substr(path, 9) ELSE path END AS path FROM source_files), s AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS directory FROM p WHERE len(string_split(path, '/')) <= 4) SELECT directory, path FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY directory ORDER BY path) <= 15) ORDER BY path LIMIT 120"
+)
+def directory_sketch(spark, d):
+    files = table(spark, d, "source_files").select(text.relative_path(F.col("path"), F.lit("/srv/ws")).alias("path"))
+    return catalog.directory_sketch(files)
+
+
+@query(
+    "WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents WHERE length(text) > 0), i AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l), r AS (SELECT doc_id, l, i, l[i] AS a, coalesce(l[i + 1], '') AS b FROM i),"
+    " h AS (SELECT doc_id, l, i FROM r WHERE i = 1 OR (trim(a) <> '' AND NOT regexp_matches(a, '{R}') AND regexp_matches(b, '{R}') AND length(rtrim(b)) >= length(rtrim(a)))), s AS (SELECT doc_id, l, i AS a, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, len(l)) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no FROM h),"
+    " k AS (SELECT *, unnest(generate_series(a, z, 150)) AS p FROM s WHERE NOT regexp_matches(array_to_string(l[a:z], chr(10)), '^\\s*$')) SELECT doc_id AS path, no::INT AS section_no, p::INT AS start_line, least(p + 149, z)::INT AS end_line FROM k".replace("{R}", "^(={3,}|-{3,}|~{3,}|\\^{3,}|\"{3,}|''{3,}|`{3,}|#{3,}|\\*{3,}|\\+{3,}|:{3,}|\\.{3,})\\s*$")
+)
+def rst_sections(spark, d):
+    return chunking.underlined_sections(_docs(spark, d), "doc_id").select("path", "section_no", "start_line", "end_line")
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[a-z0-9]{2}') THEN 1.0 ELSE 0.0 END AS length FROM documents WHERE text IS NOT NULL")
+def embed_documents(spark, d):
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", vectors.embed(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.round(vectors.norm(F.col("v")), 6).alias("length"))
+
+
 @query()
 def chunk_files(spark, d):
     return definitions.chunk_files(_files(spark, d)).select("chunk_id", "language", "node_type", "symbol_name", F.md5("content").alias("content"))
@@ -273,7 +296,11 @@ def file_links_derived(spark, d):
     return _round(graph.file_links(*_deliveries(spark, d)), "weight")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_DELIVERIES}, l AS MATERIALIZED (SELECT src, f AS dst, sum(1 / c) AS w FROM e JOIN y USING (leaf) JOIN c USING (leaf) WHERE src <> f AND src IN (SELECT f FROM y) GROUP BY ALL), o AS (SELECT src, sum(w) AS o FROM l GROUP BY src), k AS MATERIALIZED (SELECT src, dst, w / o AS s FROM l JOIN o USING (src)), v AS MATERIALIZED (SELECT DISTINCT f FROM y), z AS (SELECT count(*) AS z FROM v),"
+    " r(i, f, x) AS (SELECT 0, f, 1.0::DOUBLE / z FROM v, z UNION ALL SELECT q.i + 1, q.f, 0.15 / z + 0.85 * (q.g + (1 - sum(q.g) OVER ()) / z) FROM (SELECT r.i, r.f, coalesce(a.g, 0) AS g FROM r LEFT JOIN (SELECT k.dst, sum(k.s * r2.x) AS g FROM r AS r2 JOIN k ON k.src = r2.f GROUP BY k.dst) a ON a.dst = r.f) q, z WHERE q.i < 60)"
+    " SELECT 'w' AS workspace, f AS file_path, round(x / max(x) OVER (), 5) AS importance FROM r WHERE i = 60"
+)
 def pagerank(spark, d):
     return _round(graph.page_rank(*_deliveries(spark, d)), "importance", digits=5)
 
@@ -336,7 +363,7 @@ def chunk_predicates(spark, d):
 
 
 @query(
-    f"WITH {_M}, p AS (SELECT chunk_id, symbol_name, nullif(regexp_extract(content, '(?m)^\\s*# class: (\\w+)\\s*$', 1), '') AS owner, list_filter(m, lambda x: contains(x, '(') OR regexp_matches(x, '^(class|struct|enum|interface|type|impl|trait)\\b'))[1] AS sig, regexp_extract(content, '(?s)(?:\"\"\"||/\\*\\*|///)\\s*\\**\\s*([^\\n\"*]*)', 1) AS doc FROM q WHERE {_BEARING})"
+    f"WITH {_M}, p AS (SELECT chunk_id, symbol_name, nullif(regexp_extract(content, '(?m)^\\s*# class: (\\w+)\\s*$', 1), '') AS owner, list_filter(m, lambda x: contains(x, '(') OR regexp_matches(x, '^(class|struct|enum|interface|type|impl|trait)\\b'))[1] AS sig, regexp_extract(content, '(?s)(?:\"\"\"|''''''|/\\*\\*|///)\\s*\\**\\s*([^\\n\"*]*)', 1) AS doc FROM q WHERE {_BEARING})"
     " SELECT chunk_id, trim(concat_ws(' ', concat_ws('.', owner, symbol_name), coalesce(sig, ''), trim(doc))) AS purpose FROM p"
 )
 def purpose_text(spark, d):
