@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators import quality as q
+from lodeweave.plans.runtime import spread
 
 # Sizes of windows and headers, in lines.
 WINDOW, OVERLAP = 200, 50
@@ -31,7 +32,7 @@ def window_chunks(files: DataFrame, path: str = "path", text: str = "text", size
     A text within one window gives one chunk; no window begins within the overlap of the last line. NULL or empty text gives none.
     """
     step = size - overlap
-    rows = files.filter(F.length(text) > 0).select(F.col(path).alias("path"), lines_of(F.col(text)).alias("_l"))
+    rows = spread(files.filter(F.length(text) > 0).select(F.col(path).alias("path"), F.col(text).alias("_t"))).select("path", lines_of(F.col("_t")).alias("_l"))
     n = F.size("_l")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(step))
     rows = rows.select("path", "_l", F.posexplode(F.filter(starts, lambda s: (s == 0) | (s + overlap < n))).alias("chunk_no", "_s"))
@@ -39,21 +40,26 @@ def window_chunks(files: DataFrame, path: str = "path", text: str = "text", size
     return rows.select("path", "chunk_no", (F.col("_s") + 1).alias("start_line"), end.alias("end_line"), F.array_join(F.slice("_l", F.col("_s") + 1, size), "\n").alias("content"))
 
 
-def _sections(files: DataFrame, path: str, text: str, heading) -> DataFrame:
-    """Sections that begin at the lines where heading(line, next line) holds; lines are arrays, so nothing is shuffled."""
-    rows = files.filter(F.length(text) > 0).select(F.col(path).alias("path"), F.col(text).alias("_t"))
-    lines = lines_of(F.col("_t"))
-    after = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit("")))
-    flags = F.zip_with(lines, after, lambda x, y: F.coalesce(heading(x, y), F.lit(False)))
-    at = F.array_compact(F.transform(flags, lambda f, i: F.when(f | (i == 0), i + 1)))
-    rows = rows.select("path", lines.alias("_l"), F.posexplode(F.arrays_zip(at.alias("a"), F.concat(F.transform(F.slice(at, 2, F.size(at)), lambda x: x - 1), F.array(F.size(lines))).alias("z"))).alias("section_no", "_s"))
+def _sections(files: DataFrame, path: str, text: str, heading, two: bool = False) -> DataFrame:
+    """Sections that begin at the lines where heading(line), or of two lines heading(line, next line), holds; lines are arrays, so nothing is shuffled."""
+    rows = spread(files.filter(F.length(text) > 0).select(F.col(path).alias("path"), F.col(text).alias("_t")))
+    # each step is a column of its own, so that no text is split twice
+    rows = rows.select("path", lines_of(F.col("_t")).alias("_l"))
+    if two:
+        rows = rows.withColumn("_after", F.concat(F.slice("_l", 2, F.size("_l")), F.array(F.lit(""))))
+        rows = rows.withColumn("_head", F.zip_with("_l", "_after", lambda x, y: F.coalesce(heading(x, y), F.lit(False))))
+    else:
+        rows = rows.withColumn("_head", F.transform("_l", lambda x: F.coalesce(heading(x), F.lit(False))))
+    rows = rows.withColumn("_at", F.array_compact(F.transform("_head", lambda f, i: F.when(f | (i == 0), i + 1))))
+    ends = F.concat(F.transform(F.slice("_at", 2, F.size("_at")), lambda x: x - 1), F.array(F.size("_l")))
+    rows = rows.withColumn("_z", F.arrays_zip(F.col("_at").alias("a"), ends.alias("z"))).select("path", "_l", F.posexplode("_z").alias("section_no", "_s"))
     rows = rows.select("path", "section_no", F.col("_s.a").alias("start_line"), F.col("_s.z").alias("end_line"), F.array_join(F.slice("_l", F.col("_s.a"), F.col("_s.z") - F.col("_s.a") + 1), "\n").alias("content"))
     return rows.filter(~F.col("content").rlike(r"^\s*$"))
 
 
 def markdown_sections(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, section_no, start_line, end_line, content, heading): a section at each # heading, and what stands before the first."""
-    out = _sections(files, path, text, lambda line, _: line.rlike(r"^#{1,6}\s"))
+    out = _sections(files, path, text, lambda line: line.rlike(r"^#{1,6}\s"))
     return out.withColumn("heading", F.trim(F.regexp_extract("content", r"^#{1,6}\s+(.*)", 1)))
 
 
@@ -66,7 +72,7 @@ def underlined_sections(files: DataFrame, path: str = "path", text: str = "text"
     def heading(title: Column, below: Column) -> Column:
         return (F.trim(title) != "") & ~title.rlike(_RULER) & below.rlike(_RULER) & (F.length(F.rtrim(below)) >= F.length(F.rtrim(title)))
 
-    out = _sections(files, path, text, heading)
+    out = _sections(files, path, text, heading, two=True)
     lines = lines_of(F.col("content"))
     out = out.select("path", "section_no", "start_line", lines.alias("_l"), F.explode(F.sequence(F.lit(1), F.size(lines), F.lit(SECTION_LINES))).alias("_p"))
     body = F.slice("_l", F.col("_p"), SECTION_LINES)

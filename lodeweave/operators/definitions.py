@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.chunking import chunk_id, markdown_sections, postprocess, underlined_sections, window_chunks
+from lodeweave.plans.runtime import spread
 
 LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
 # Reserved words of the languages; what looks like a header of a function may be a statement of one.
@@ -159,7 +160,7 @@ def definitions(files: DataFrame, path: str = "path", text: str = "text") -> Dat
     a function). Nested definitions come out, too. NULL and empty texts and other files give none.
     """
     known = F.regexp_extract(F.col(path), r"\.(\w+)$", 1).isin(list(LANGUAGES))
-    return files.filter(known & (F.length(text) > 0)).select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(_run, _OUT)
+    return spread(files.filter(known & (F.length(text) > 0)).select(F.col(path).alias("path"), F.col(text).alias("text"))).mapInPandas(_run, _OUT)
 
 
 def chunk_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

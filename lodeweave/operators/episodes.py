@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.commands import TRANSIENT, identical, in_band, markers, normal_form, outcome, similarity, termination
+from lodeweave.plans.runtime import spread
 
 # Windows of the arc search and of retention.
 MOST_COMMANDS, MOST_SECONDS, MOST_PENDING, TS_STEP = 20, 600.0, 5, 0.001
@@ -49,7 +50,7 @@ def digest(text: Column, chars: int = 2000, head: int = 20, tail: int = 20) -> C
 
 def derived(episodes: DataFrame) -> DataFrame:
     """Episodes with termination, markers found in their output, and outcome."""
-    rows = episodes.withColumn("markers", markers(F.col("stdout"), F.col("stderr")))
+    rows = spread(episodes).withColumn("markers", markers(F.col("stdout"), F.col("stderr")))
     rows = rows.withColumn("termination", termination(F.col("rc"), F.col("interrupted")))
     harness = F.col("harness_success") if "harness_success" in episodes.columns else None
     return unique_episodes(rows.withColumn("outcome", outcome(F.col("rc"), F.col("is_error"), F.col("interrupted"), F.col("markers"), harness)))

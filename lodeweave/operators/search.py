@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions.text import code_tokens, normalized_content, query_tokens_py
 from lodeweave.functions.vectors import cosine, embed, vector
 from lodeweave.operators.quality import is_type_definition, quality_score
-from lodeweave.plans.runtime import cut
+from lodeweave.plans.runtime import cut, spread
 
 # BM25+ and the priors of the order.
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -25,7 +24,7 @@ STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was",
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(token, key, tf, dl): how often each token stands in each document of dl tokens."""
-    rows = docs.select(F.col(key), code_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    rows = spread(docs.select(F.col(key), F.col(text).alias("_x"))).select(key, code_tokens(F.col("_x")).alias("_t")).withColumn("dl", F.size("_t"))
     return rows.select(key, "dl", F.explode("_t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -45,7 +44,7 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", n
     counts of these tokens, so nothing of the size of the vocabulary is shuffled.
     """
     tokens = query_tokens_py(query)
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key), code_tokens(F.col(text)).alias("_t"))
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_x"))).select(key, code_tokens(F.col("_x")).alias("_t"))
     rows = rows.select(key, F.size("_t").alias("_dl"), *[F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(tokens)])
     rows = cut(rows)  # a few numbers a document: the texts are read and cut into tokens once, for all that follows
     df = [F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(tokens))]
