@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.plans.runtime import spread
+
 FUNCTION_NODES = ("function_definition", "function_declaration", "function_item", "method_definition", "method_declaration")
 LEAST_WORDS = 4
 _ROW = 1 << 40  # positions of a batch: row * _ROW + place in the text
@@ -252,4 +254,4 @@ def documented_functions(chunks: DataFrame, every: bool = False) -> DataFrame:
     """
     cols = ["chunk_id", "workspace", "file_path", "language", "symbol_name", "content"]
     rows = chunks.filter(F.col("node_type").isin(*FUNCTION_NODES) & (F.length("content") > 0)).select(cols)
-    return rows.mapInPandas(_run(every), _OUT).dropDuplicates(["chunk_id", "function_name", "code", "description"])
+    return spread(rows).mapInPandas(_run(every), _OUT).dropDuplicates(["chunk_id", "function_name", "code", "description"])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.plans.runtime import cut, small
+from lodeweave.plans.runtime import cut, small, spread
 
 SHINGLE, SIMILAR = 5, 0.8
 #: A bitmap of this fixed size holds the prefixes of all known files: files with none of them are not joined.
@@ -261,7 +261,7 @@ def file_origins(files: DataFrame, upstream: DataFrame, further: tuple[str, ...]
         texts = upstream.filter("length(content) > 0").select(F.monotonically_increasing_id().alias("known"), "content")
         known = cut(texts.mapInPandas(_known, "known long, set array<long>, start array<long>"))
         bitmap = files.sparkSession.sparkContext.broadcast(_bitmap(known.select(F.explode("start").alias("h"))))
-    seen = rows.mapInPandas(_scan(bitmap), _ROW)
+    seen = spread(rows).mapInPandas(_scan(bitmap), _ROW)
     if known is not None:
         seen = cut(seen)
         seen = seen.join(small(cut(_similarity(seen, known))), "row_key", "left")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.plans.runtime import spread
+
 WINDOW, OVERLAP = 1 << 16, 1 << 10
 
 # Public formats of tokens by their heads.
@@ -374,4 +376,4 @@ def credentials(records: DataFrame) -> DataFrame:
     (same origin, key and text) count once. An empty table gives an empty result; other columns are ignored.
     """
     rows = records.select("origin", F.col("record_key").cast("string").alias("record_key"), "text").filter("record_key is not null and length(text) > 0")
-    return rows.mapInPandas(_run, _OUT).dropDuplicates(["origin", "record_key", "redacted"])
+    return spread(rows).mapInPandas(_run, _OUT).dropDuplicates(["origin", "record_key", "redacted"])

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.plans.runtime import cut, release, shuffle_width
+from lodeweave.plans.runtime import cut, release, shuffle_width, spread
 
 #: Length limits of the rounds. Symbols have at most 2 * limit characters after a round (runs aside); what happens to a
 #: symbol depends on at most MARGIN characters to either side: the sum over the rounds of the longest symbols before them.
@@ -374,7 +374,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         raise ValueError(f"span must be at least {LEAST_SPAN}")
     width = shuffle_width(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter((F.length("text") >= span) & F.col("doc_id").isNotNull())
-    rows = cut(texts.mapInPandas(_index(span), _INDEX))
+    rows = cut(spread(texts).mapInPandas(_index(span), _INDEX))
     whole = rows.filter("digest is not null").select("doc_id", "digest", F.col("at").alias("n_chars")).dropDuplicates(["doc_id", "digest"])
     first = whole.groupBy("digest").agg(F.min("doc_id").alias("text_key"))
     records = cut(whole.join(first, "digest").select("doc_id", "text_key", "n_chars"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeweave.plans.runtime import spread
+
 #: Where the vocabulary lies on every machine; a parameter of each operator that counts tokens.
 VOCABULARY = os.environ.get("LODEWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pre-tokenisation pattern that belongs to this vocabulary.
@@ -39,4 +41,4 @@ def count_tokens(texts: DataFrame, text: str, path: str = VOCABULARY, out: str =
             rows[out] = pd.Series([None if x is None else len(encode(x)) for x in rows[text]], index=rows.index, dtype="Int64")
             yield rows[names]
 
-    return texts.select(*[F.col(f.name) for f in keep], F.col(text)).mapInPandas(run, schema)
+    return spread(texts.select(*[F.col(f.name) for f in keep], F.col(text))).mapInPandas(run, schema)
