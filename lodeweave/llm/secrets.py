@@ -1,9 +1,10 @@
 """Problem 7: credentials embedded in source code and commands.
 
-Method: one deterministic automaton holds the heads of all grammars (token formats, key armor,
-connection strings, names of credentials, command options, encodings). It reads the whole text once,
-in overlapping windows; where it reports a head, the grammar of that head reads on from that place.
-Spans are absolute, so what two windows see counts once, and a placeholder is spliced in for each.
+Method: token formats, key armor and connection strings are one deterministic automaton. The part of it that leads
+to the heads of the grammars is a trie with failure links, which reads the whole text once, in overlapping
+windows; from a head on all grammars that begin so are read together, by states made when they are first
+met (automaton.py). Further heads (names of credentials, command options, encodings) lead to an expression each, anchored
+at the head. Spans are absolute, so what two windows see counts once, and a placeholder is spliced in for each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm.automaton import Automaton
 from lodeweave.plans.runtime import spread
 
 WINDOW, OVERLAP = 1 << 16, 1 << 10
@@ -62,7 +64,12 @@ _NAMES = [
     "signing_key", "signingkey", "private_key", "privatekey", "credential", "bearer", "authkey", "auth_key",
     "storage_key", "account_key", "accountkey", "encryption_key", "master_key", "private-token", "_pass", "-pass",
 ]
-_ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Grammars by the kind of what they find, each with its head, in lower case.
+_GRAMMARS = {
+    "format": _FORMATS,
+    "armor": {"-----begin ": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[ BLOCK]{0,6}-----"},
+    "connection": {"://": r"://[^\s/:@\"'`<>]*:[^\s/@\"'`]+@"},
+}
 _ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_BODY = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nrt]|\s|[\"'+,]|: |Proc-Type|DEK-Info|ENCRYPTED)*?(?=-----END|[^A-Za-z0-9+/=\s\\\"'+,:])|(?:[A-Za-z0-9+/=\\\s]*)")
 _BODY_LINE = re.compile(r"^[ \t]*[A-Za-z0-9+/]{20,76}={0,2}[ \t]*\\?n?[ \t]*$")
@@ -113,7 +120,6 @@ _ARG = re.compile(r"\w*[\"'][ \t]*,[ \t]*[\"'](?P<v>[^\"'\n]+)[\"']")
 _OPTION = re.compile(r"(?:=|[ \t]+)[\"']?(?P<v>[^\s\"']+)")
 _PROSE = re.compile(r"[ \t]+(?P<v>[^\s\"']+)")
 _USER_SLASH = re.compile(r"[\w.@\-]+[ \t]*/[ \t]*$")
-_CONNECT = re.compile(r"://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`]+)@")
 _HEADER_VALUE = re.compile(r"[\w\-]*:[ \t]*(?:[A-Z][a-z]+[ \t]+)?(?P<v>[^\s\"']+)(?=[\"'])")
 _TOKEN_VALUE = re.compile(r"[ \t]+(?P<v>[^\s\"'`]+)(?=[\"'`])")
 _INI_VALUE = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}[ \t]*$", re.M)
@@ -156,13 +162,13 @@ def _login(text: str | None) -> bool:
 
 
 def _armor(text: str, at: int) -> tuple[int, int] | None:
-    m = _ARMOR.match(text, at)
-    if not m:
+    head = _grammars()["armor"].longest(text, at)
+    if not head:
         return None
-    end = _ARMOR_END.search(text, m.end())
-    if end and "-----BEGIN" not in text[m.end() : end.start()]:
+    end = _ARMOR_END.search(text, head)
+    if end and "-----BEGIN" not in text[head : end.start()]:
         return at, end.end()
-    body = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|\\r|\s)*").match(text, m.end())  # cut off: what is there of its body
+    body = re.compile(r"(?:[A-Za-z0-9+/=]|\\n|\\r|\s)*").match(text, head)  # cut off: what is there of its body
     return at, len(text[: body.end()].rstrip())
 
 
@@ -235,14 +241,19 @@ def _named(text: str, at: int, end: int) -> tuple[int, int] | None:
     return None
 
 
+@functools.cache
+def _grammars() -> dict[str, Automaton]:
+    return {kind: Automaton(grammars.values()) for kind, grammars in _GRAMMARS.items()}
+
+
 @functools.cache
 def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    heads = {h: ("format", re.compile(p)) for h, p in _FORMATS.items()}
+    heads = {h: (kind, _grammars()[kind]) for kind, grammars in _GRAMMARS.items() for h in grammars}
     heads |= {n: ("name", None) for n in _NAMES}
-    heads |= {"-----begin ": ("armor", None), "-----end ": ("rest", None), "://": ("connection", None), "basic ": ("basic", None), "-u ": ("user", None), "sshpass": ("sshpass", None), "-p'": ("p", None), '-p"': ("p", None)}
+    heads |= {"-----end ": ("rest", None), "basic ": ("basic", None), "-u ": ("user", None), "sshpass": ("sshpass", None), "-p'": ("p", None), '-p"': ("p", None)}
     heads |= {c: ("client", g) for c, g in _CLIENTS.items()}
     heads |= {"base64 -d": ("decode", None), "base64 --decode": ("decode", None), "ls0tls1crudjti": ("encoded", None)}
     for head, (kind, grammar) in heads.items():
@@ -257,9 +268,9 @@ _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 def _read(text: str, at: int, end: int, kind: str, grammar) -> tuple[int, int, str] | None:
     if kind == "format":
         before = text[at - 1 : at]
-        m = grammar.match(text, at)
-        if m and not (before.isalnum() and before.isascii() and text[at].isalnum()) and not _PLACEHOLDER.search(m.group(0)):
-            return at, m.end(), "TOKEN"
+        stop = 0 if before.isalnum() and before.isascii() and text[at].isalnum() else grammar.longest(text, at)
+        if stop and not _PLACEHOLDER.search(text[at:stop]):
+            return at, stop, "TOKEN"
     elif kind == "name":
         if text[at:end].lower() == "bearer" and (m := _BEARER.match(text, end)) and is_secret(m["v"]):
             return *m.span("v"), "TOKEN"
@@ -272,9 +283,11 @@ def _read(text: str, at: int, end: int, kind: str, grammar) -> tuple[int, int, s
         if span := _armor_rest(text, at):
             return *span, "KEY"
     elif kind == "connection":
-        m = _CONNECT.match(text, at)
-        if m and len(m["v"]) >= 4 and not _PLACEHOLDER.search(m["v"]) and m["v"].lower() not in ("pass", "password", "pwd", "secret", "user"):
-            return *m.span("v"), "PASSWORD"
+        if stop := grammar.longest(text, at):
+            begin = text.index(":", at + 3) + 1
+            value = text[begin : stop - 1]
+            if len(value) >= 4 and not _PLACEHOLDER.search(value) and value.lower() not in ("pass", "password", "pwd", "secret", "user"):
+                return begin, stop - 1, "PASSWORD"
     elif kind == "basic":
         if (m := _BASIC.match(text, at)) and _login(_decoded(m["v"])):
             return *m.span("v"), "TOKEN"

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.llm import chart, docs, mix, near_dup, origin, pack, parse, runs, secrets, spans, split
+from lodeweave.llm import automaton, chart, docs, mix, near_dup, origin, pack, parse, runs, secrets, spans, split
 
 LIMITS = "node_type string, max_chars int, overlap_lines int"
 CHUNK = "chunk_id string, workspace string, file_path string, language string, node_type string, symbol_name string, start_line int, end_line int, content string, l string"
@@ -268,6 +268,19 @@ SECRETS = [
 ]
 
 
+def test_automaton_agrees_with_expressions():
+    grammars = [r"ab[c-e]{2,4}x?", r"a[^\sx]+\.y{3,}", r"ab{2}(?![0-9])", r"-a*b", r"\d{1,2}[.]\w*z"]
+    machine, rng = automaton.Automaton(grammars), random.Random(9)
+    each = [re.compile(g) for g in grammars]
+    for _ in range(4000):
+        text = "".join(rng.choice("aabbcdxy.z-01 ") for _ in range(rng.randint(0, 14)))
+        # an expression with ?, * or {m,n} is greedy, but all of these have their longest match first
+        assert machine.longest(text, 0) == max((m.end() for e in each if (m := e.match(text))), default=0), text
+    assert automaton.Automaton([]).longest("a", 0) == 0
+    with pytest.raises(ValueError):
+        automaton.Automaton(["(a|b)"])
+
+
 _MIXED = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ2bC4eF6hJ8kL0n"  # 40 characters
 FORMATS = [
     ("h = 'token " + _MIXED[:32].lower() + "'", True), ("msg = 'token expired at line 33'", False),
