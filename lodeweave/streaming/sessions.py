@@ -14,6 +14,7 @@ from lodeweave.operators.episodes import ARC, _NEEDED, _Session, observe_rows
 from lodeweave.operators.triggers import COOLDOWN_TURNS, LEDGER_OUT, LEDGER_STATE, PER_SESSION, PER_TURN, _ledger
 
 QUIET, BURST_QUIET, BURST_FILES = "2 seconds", "15 seconds", 8
+LATE, IDLE = "1 day", 6 * 3600.0  # how late rows may come; seconds after which the state of a silent session goes
 
 
 def event_time(df: DataFrame, ts: str, late: str = "10 minutes") -> DataFrame:
@@ -49,16 +50,33 @@ def _arcs(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     rows = pd.concat(list(batches)).sort_values(["ts", "id"], na_position="first", kind="stable")
     out = observe_rows(session, rows)
     state.update((json.dumps(session.kept()),))
-    yield pd.DataFrame(out, columns=["session_id", "failure_ids", "success_id", "confidence", "changed"])
+    yield pd.DataFrame(out, columns=["session_id", "failure_ids", "success_id", "confidence", "changed", "changes"])
 
 
-def stream_arcs(derived_episodes: DataFrame) -> DataFrame:
-    """arcs() of a stream of derived() episodes: the same arcs, if rows arrive in the order of ts within a session."""
-    rows = derived_episodes.filter("session_id is not null").select(*_NEEDED)
-    return rows.groupBy("session_id").applyInPandasWithState(_arcs, ARC, "kept string", "append", GroupStateTimeout.NoTimeout)
+def _forgotten(run, idle_seconds: float):
+    """run, whose state of a key goes when the watermark has passed what last came for it by so many seconds."""
 
+    def with_timeout(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from run(key, batches, state)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(idle_seconds * 1000))
 
-def stream_ledger(fires: DataFrame, session_budget: int = PER_SESSION, turn_budget: int = PER_TURN, cooldown: int = COOLDOWN_TURNS) -> DataFrame:
-    """ledger() of a stream of fires."""
-    run = _ledger(session_budget, turn_budget, cooldown)
-    return fires.groupBy("session_id").applyInPandasWithState(run, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return with_timeout
+
+
+def stream_arcs(derived_episodes: DataFrame, late: str = LATE, idle_seconds: float = IDLE) -> DataFrame:
+    """arcs() of a stream of derived() episodes: the same arcs, if rows arrive in the order of ts within a session.
+
+    Rows more than `late` behind the newest are dropped. A session's state goes when the watermark is idle_seconds beyond its
+    last row; what comes then begins anew.
+    """
+    rows = event_time(derived_episodes.filter("session_id is not null"), "ts", late).select(*_NEEDED, "event_time")
+    return rows.groupBy("session_id").applyInPandasWithState(_forgotten(_arcs, idle_seconds), ARC, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_ledger(fires: DataFrame, session_budget: int = PER_SESSION, turn_budget: int = PER_TURN, cooldown: int = COOLDOWN_TURNS, late: str = LATE, idle_seconds: float = IDLE) -> DataFrame:
+    """ledger() of a stream of fires, with the times of stream_arcs()."""
+    run = _forgotten(_ledger(session_budget, turn_budget, cooldown), idle_seconds)
+    return event_time(fires, "ts", late).groupBy("session_id").applyInPandasWithState(run, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
