@@ -173,7 +173,8 @@ def near_duplicates(
     sets = cut(word_sets(records, key, group, text).withColumn("same", digest))
     classes = cut(sets.groupBy("grp", "same").agg(F.min("rec_id").alias("rec_id"), F.first("words").alias("words")))
     lookup = classes.select("grp", "same", F.col("rec_id").alias("class_id"))
-    members = sets.select("rec_id", "grp", "same").dropDuplicates().join(lookup, ["grp", "same"]).select("rec_id", "grp", "class_id")
+    members = cut(sets.select("rec_id", "grp", "same").dropDuplicates().join(lookup, ["grp", "same"]).select("rec_id", "grp", "class_id"))
+    release(sets)
 
     sketch = spark.sparkContext.broadcast(_sketch(classes))
     hashed = classes.select(F.xxhash64("grp").alias("grp"), "rec_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm.tokens import VOCABULARY, count_tokens
 from lodeweave.plans.ordered import number_within
-from lodeweave.plans.runtime import cut
+from lodeweave.plans.runtime import cut, small
 
 
 class _Sizes:
@@ -194,7 +194,7 @@ def pack_documents(
             bins[name] = max(1, bins[name])
     table = spark.createDataFrame(plans, "container string, rest long, rank_from long, rank_to long, first_no long, each long")
     ranked = number_within(rests, ["container", "rest"], ["doc_id"])
-    placed = ranked.join(F.broadcast(table), ["container", "rest"]).filter("rank >= rank_from and rank < rank_to")  # the plan is bounded by the capacities
+    placed = ranked.join(small(table), ["container", "rest"]).filter("rank >= rank_from and rank < rank_to")  # the plan is bounded by the capacities
     placed = placed.select(
         "container",
         (F.col("first_no") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each"))).alias("container_no"),

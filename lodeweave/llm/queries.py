@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.docs import documented_functions
-from lodeweave.llm.mix import mix_sources
+from lodeweave.llm.mix import mix_sources, source_name
 from lodeweave.llm.near_dup import expand_pairs, near_duplicates
 from lodeweave.llm.origin import file_origins
 from lodeweave.llm.pack import pack_documents
@@ -117,6 +117,35 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
 
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: documents, containers, the least number that their tokens need, and the share of unused space."""
+    packed = p8_pack(spark, d)
+    caps = table(spark, d, "pack_capacities").groupBy("container").agg(F.max("capacity_tokens").alias("capacity"))
+    each = packed.groupBy("container", "container_no").agg(F.sum("tokens").alias("tokens"))
+    used = each.groupBy("container").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return used.join(F.broadcast(caps), "container").select("container", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "fullest", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused_share"))
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: documents that are in a container, overfull containers, documents cut although they fit, and those whose pieces leave a gap."""
+    packed = p8_pack(spark, d)
+    caps = table(spark, d, "pack_capacities").groupBy("container").agg(F.max("capacity_tokens").alias("capacity"))
+    over = packed.groupBy("container", "container_no").agg(F.sum("tokens").alias("t")).join(F.broadcast(caps), "container").groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    docs = packed.groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("token_from") + F.col("tokens")).alias("end")).join(F.broadcast(caps), "container")
+    docs = docs.groupBy("container").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("cut"), F.count_if(F.col("t") != F.col("end")).alias("gaps"))
+    return docs.join(over, "container")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target source: its limit of repeats, documents used more often, and documents of another source among its own."""
+    docs = table(spark, d, "documents")
+    chosen, report = mix_sources(docs, table(spark, d, "mix_targets"))
+    own = docs.select("doc_id", source_name(F.col("source")).alias("own")).distinct()
+    used = chosen.join(own, "doc_id").join(report.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("own") != F.col("source")).alias("of_others"))
+    out = report.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats").join(used, "source", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("too_often", "of_others")})
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -148,6 +177,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN piece_limits USING (node_type) WHERE length(content) > max_chars",
         "p1_whole": """
             SELECT DISTINCT chunk_id, true AS fits, true AS numbered, true AS inside, true AS complete FROM chunks JOIN piece_limits USING (node_type) WHERE length(content) > max_chars""",
+        "p8_whole": """
+            SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS overfull, 0 AS cut, 0 AS gaps FROM pack_capacities WHERE capacity_tokens >= 1 GROUP BY container""",
+        "p9_kept": """
+            SELECT regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g') AS source, round(sum(target_share), 6) AS target_share, max(max_repeats)::BIGINT AS max_repeats, 0 AS too_often, 0 AS of_others
+            FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats >= 1 GROUP BY 1""",
         "p3_groups": """
             WITH n AS (SELECT DISTINCT note_id, workspace, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS w FROM notes WHERE content IS NOT NULL AND workspace IS NOT NULL),
             m AS (SELECT workspace, note_id, w, min(note_id) OVER (PARTITION BY workspace, w) AS class_id FROM n WHERE len(w) > 0), c AS (SELECT DISTINCT workspace, class_id, w FROM m),
