@@ -91,6 +91,26 @@ def status(chunks: DataFrame, symbols: DataFrame, notes: DataFrame, episodes: Da
     return out
 
 
+def codebase_map(files: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
+    """(workspace, files, languages, directories, readme): what a summary of each workspace is made of, of files(workspace, path, text).
+
+    languages are the most frequent by chunks, directories the largest at the top of the tree, readme the beginning of the first one.
+    """
+    below = F.when(F.col("path").startswith(F.concat("workspace", F.lit("/"))), F.substring("path", F.length("workspace") + 2, F.length("path"))).otherwise(F.col("path"))
+    rows = files.select("workspace", "path", "text", below.alias("_b")).dropDuplicates(["workspace", "path"])
+    size = rows.groupBy("workspace").agg(F.count(F.lit(1)).alias("files"), F.min_by(F.substring("text", 1, 1500), F.when(F.lower("_b").rlike(r"(^|/)readme[^/]*$"), F.col("path"))).alias("readme"))
+
+    def leading(counts: DataFrame, name: str, out: str) -> DataFrame:
+        w = Window.partitionBy("workspace").orderBy(F.desc("n"), name)  # of a workspace as many rows as it has languages or top directories
+        kept = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+        return kept.groupBy("workspace").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", name))), lambda x: x[name]), ",").alias(out))
+
+    n = F.count(F.lit(1)).alias("n")
+    languages = chunks.filter("language is not null").select("workspace", "language", "chunk_id").distinct().groupBy("workspace", "language").agg(n)
+    tops = rows.filter(F.contains("_b", F.lit("/"))).groupBy("workspace", F.split("_b", "/")[0].alias("directory")).agg(n)
+    return size.join(leading(languages, "language", "languages"), "workspace", "left").join(leading(tops, "directory", "directories"), "workspace", "left")
+
+
 def fetch(chunks: DataFrame, ids: list[str], most: int = MOST_IDS) -> DataFrame:
     """(pos, requested_id, found, reason, nearest, content) of chunks by id, in the order asked for.
 

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from lodeweave.operators.chunking import chunk_id, markdown_sections, postprocess, underlined_sections, window_chunks
 from lodeweave.plans.runtime import spread
 
-LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust"}
+LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c"}
 # Reserved words of the languages; what looks like a header of a function may be a statement of one.
 RESERVED = {
     "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
     "java": "assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface new package return static super switch synchronized this throw throws try void while",
     "javascript": "await break case catch class const continue default delete do else export extends finally for function if import in instanceof let new of return super switch this throw try typeof var void while with yield",
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
+    "c": "auto bool break case catch char class const continue default delete do double else enum extern float for goto if inline int long namespace new operator private protected public return short signed sizeof static struct switch template throw try typedef union unsigned using virtual void volatile while",
     "rust": "as async await break const continue else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type unsafe use where while",
 }
 RESERVED["typescript"] = RESERVED["javascript"] + " interface type enum namespace declare abstract implements keyof readonly"
@@ -37,6 +38,7 @@ _STRINGS = {
     "rust": r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|b?r#\"[\s\S]*?\"#|b?r\"[^\"]*\"|b?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)'",
 }
 _STRINGS["typescript"] = _STRINGS["javascript"]
+_STRINGS["c"] = _STRINGS["java"]
 _BLANKED = {k: re.compile(v) for k, v in _STRINGS.items()}
 
 _JS_MODIFIERS = r"(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)[ \t]+|\*[ \t]*)*"
@@ -53,6 +55,8 @@ _HEADERS = {
     "javascript": _JS,
     "typescript": _JS + r"|^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?P<type2>interface|enum)[ \t]+(?P<c2>[\w$]+)",
     "go": r"^func[ \t]+(?P<r>\([^()]*\)[ \t]*)?(?P<f>\w+)|^type[ \t]+(?P<c>\w+)[ \t]+(?:struct|interface)",
+    "c": r"^[ \t]*(?:template[ \t]*<[^{};]*>\s*)?(?:typedef[ \t]+)?(?P<type>struct|class|enum|union)[ \t]+(?P<c>\w+)(?=[^;{}()]*\{)"
+    r"|^[ \t]*(?:[A-Za-z_][\w:<>,]*(?:[ \t]+|[ \t]*[*&]+[ \t]*))*(?P<f>~?[A-Za-z_]\w*(?:::~?\w+)*)[ \t]*\((?:[^(){};]|\([^(){};]*\))*\)[ \t\n]*(?:(?:const|noexcept|override|final)[ \t\n]*)*(?=\{)",
     "rust": r"^[ \t]*(?:pub(?:\([^()]*\))?[ \t]+)?(?:(?:default|const|async|unsafe|extern(?:[ \t]+\S+)?)[ \t]+)*fn[ \t]+(?P<f>\w+)|^[ \t]*(?:pub(?:\([^()]*\))?[ \t]+)?(?P<type>struct|enum|trait)[ \t]+(?P<c>\w+)|^[ \t]*(?:unsafe[ \t]+)?(?P<type2>impl)\b[ \t]*(?:<[^{}\n]*?>[ \t]+)?(?:[\w:<>', ]+?[ \t]+for[ \t]+)?(?P<c2>\w+)",
 }
 _HEADER = {k: re.compile(v, re.M) for k, v in _HEADERS.items()}
@@ -90,6 +94,7 @@ def found_definitions(text: str, language: str) -> list[tuple[str, str, str | No
         g = m.groupdict()
         kind = "class" if g.get("c") or g.get("c2") else "function"
         name = g.get("c") or g.get("c2") or g.get("f") or g.get("v") or g.get("m")
+        name, _, within = name.rpartition("::")[::-1] if name else (name, "", "")
         if name in _RESERVED[language] or g.get("m") and m[0].lstrip().split("(")[0].split()[0] in ("return", "new", "else", "throw", "await"):
             continue
         head = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -117,6 +122,8 @@ def found_definitions(text: str, language: str) -> list[tuple[str, str, str | No
         owner = open_types[-1][1] if open_types else None
         if language == "go" and g.get("r"):
             owner = (re.findall(r"\w+", g["r"]) or [None])[-1]
+        if within:
+            owner = within
         if kind == "function" and owner:
             kind = "method"
         if kind == "class":
@@ -154,7 +161,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def definitions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Definitions in files of Python, Java, JavaScript, TypeScript, Go and Rust, with the comments in front and, of methods, their class.
+    """Definitions in files of Python, Java, JavaScript, TypeScript, Go, Rust and C or C++, with the comments in front and, of methods, their class.
 
     Result: path, language, kind, node_type, symbol_name, owner, start_line, end_line, content (at most 40 lines of a type, 150 of
     a function). Nested definitions come out, too. NULL and empty texts and other files give none.
@@ -199,9 +206,57 @@ def is_reserved(name: Column, language: Column) -> Column:
     return F.coalesce(F.array_contains(words[F.lower(language)], name), F.lit(False))
 
 
+def containers(found: DataFrame) -> DataFrame:
+    """(path, symbol_name, start_line, members): types of definitions() whose body holds other definitions, and how many."""
+    t = found.filter("kind = 'class'").select("path", "symbol_name", "start_line", "end_line").distinct()
+    inner = found.select("path", F.col("start_line").alias("_a"), F.col("symbol_name").alias("_n")).distinct()
+    held = t.join(inner, "path").filter((F.col("_a") > F.col("start_line")) & (F.col("_a") <= F.col("end_line")))
+    return held.groupBy("path", "symbol_name", "start_line").agg(F.countDistinct("_a", "_n").alias("members"))
+
+
 def module_names(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, name): constants and variables that are given a value on a line without indent."""
     shape = r"(?m)^(?:(?:export\s+)?(?:public\s+|pub\s+|static\s+|final\s+)*(?:const|let|var|static)\s+(?:mut\s+)?)?([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?:?=(?!=)"
     names = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(1)))
     known = F.regexp_extract(F.col(path), r"\.(\w+)$", 1).isin(list(LANGUAGES))
     return files.filter(known & (F.length(text) > 0)).select(F.col(path).alias("path"), F.explode(names).alias("name"))
+
+
+_CALL = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*!?)\s*(?:::<[^<>()]*>)?\(")
+_EDGES = "from_file string, from_symbol string, from_line int, to_symbol string, edge_type string"
+
+
+def found_calls(text: str, language: str) -> list[tuple[str, int, str]]:
+    """(caller, its first line, callee), each once: names followed by arguments inside of a definition, by the innermost one that is no nested class."""
+    plain = blanked(text, language)
+    starts = [0, *[m.end() for m in re.finditer("\n", plain)]]
+    spans = [(first, last, name) for kind, name, _, first, last in found_definitions(text, language) if kind != "class"]
+    heads = {(first, name) for first, _, name in spans}
+    out: dict[tuple[str, int, str], None] = {}
+    for m in _CALL.finditer(plain):
+        callee = m[1].rstrip("!")
+        line = bisect_right(starts, m.start())
+        if callee in _RESERVED[language] or (line, callee) in heads:
+            continue
+        around = [s for s in spans if s[0] <= line <= s[1]]
+        if around:
+            first, _, name = max(around)
+            out[name, first, callee] = None
+    return list(out)
+
+
+def _calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        out = []
+        for path, text in zip(rows["path"], rows["text"]):
+            out += [(path, caller, line, callee, "call") for caller, line, callee in found_calls(text, LANGUAGES[path.rpartition(".")[2]])]
+        yield pd.DataFrame(out, columns=["from_file", "from_symbol", "from_line", "to_symbol", "edge_type"])
+
+
+def calls(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(from_file, from_symbol, from_line, to_symbol, edge_type) of the calls inside of functions and methods, in files of all languages with definitions.
+
+    from_line is where the calling function begins. Files that do not parse give what can be made out of them.
+    """
+    known = F.regexp_extract(F.col(path), r"\.(\w+)$", 1).isin(list(LANGUAGES))
+    return spread(files.filter(known & (F.length(text) > 0)).select(F.col(path).alias("path"), F.col(text).alias("text"))).mapInPandas(_calls, _EDGES)

@@ -251,6 +251,19 @@ class _Memory:
         self.get, self.exists = value, True
 
 
+def deliver(notes: DataFrame, events: DataFrame, moments: DataFrame, tokens: int = 120, budget: int = PER_SESSION) -> DataFrame:
+    """(session_id, note_id, place, tier, tokens): what sessions get of the notes that their moments fire: each once, within the ledger's budgets, packed in order.
+
+    Only what is delivered is charged to a session's ledger; a note's tokens are estimated at `tokens` there.
+    """
+    at = moments.select("moment_id", "session_id", "ts", "event").filter("session_id is not null")
+    fired = fire(notes, events, moments).filter("not faded").join(at, "moment_id")
+    fires = fired.select("session_id", F.xxhash64("moment_id", "note_id").alias("seq"), "ts", "event", "note_id", F.lit(tokens).alias("tokens"), F.lit(False).alias("semantic"))
+    got = ledger(fires, budget).select(F.col("session_id").alias("to_session"), "note_id").distinct()
+    items = got.join(live(notes), "note_id").withColumn("full_text", F.coalesce("content", F.lit(""))).withColumn("index_text", F.concat(F.lit("["), F.col("note_id").cast("string"), F.lit("] "), F.coalesce("title", F.lit(""))))
+    return pack(items, "to_session", budget).select(F.col("to_session").alias("session_id"), "note_id", "place", "tier", "tokens")
+
+
 def ledger(fires: DataFrame, session_budget: int = PER_SESSION, turn_budget: int = PER_TURN, cooldown: int = COOLDOWN_TURNS) -> DataFrame:
     """(session_id, seq, note_id, turn, spent) of the fires(session_id, seq, ts, event, note_id, tokens, semantic) that are delivered.
 

@@ -273,16 +273,6 @@ def markdown_sections(spark, d):
     return chunking.markdown_sections(_docs(spark, d).filter("lang = 'markdown'"), "doc_id").drop("content")
 
 
-@query()
-def python_definitions(spark, d):
-    return chunking.python_definitions(_files(spark, d).filter("path like '%.py'")).select("path", "chunk_id", "node_type", "symbol_name", "owner", "error")
-
-
-@query()
-def python_calls(spark, d):
-    return chunking.python_calls(_files(spark, d).filter("path like '%.py'"))
-
-
 @query(
     "WITH m AS (SELECT workspace, id, cmd_raw, row_number() OVER (PARTITION BY workspace ORDER BY id DESC) AS r FROM (SELECT DISTINCT ON (id) * FROM episodes)), g AS (SELECT workspace, string_agg(coalesce(cmd_raw, ''), chr(10) ORDER BY id) AS j FROM m WHERE r <= 20 GROUP BY workspace) SELECT workspace, CASE WHEN length(j) <= 2000 THEN j ELSE right(j, 2000) END AS window_text FROM g"
 )
@@ -401,11 +391,6 @@ def locate_fuzzy(spark, d):
     return graph.locate_cascade(table(spark, d, "symbols"), WS, _some_name(spark, d) + "q", limit=1000).select("name", "strategy").distinct()
 
 
-@query()
-def locate_cascade(spark, d):
-    return graph.locate_cascade(table(spark, d, "symbols"), WS, "ra", caller_file=f"{WS}/core/x.py").select("name", "kind", "file_path", "start_line", "strategy")
-
-
 @query(
     f"WITH t AS (SELECT min(name) || 'tail' AS x FROM symbols WHERE workspace = '{WS}'), s AS (SELECT DISTINCT name FROM symbols WHERE workspace = '{WS}') SELECT name FROM s, t WHERE name <> x AND (levenshtein(lower(name), lower(x)) <= 2 OR (length(name) >= 6 AND starts_with(lower(x), lower(name)))) ORDER BY CASE WHEN levenshtein(lower(name), lower(x)) <= 2 THEN 0 ELSE 1 END, CASE WHEN levenshtein(lower(name), lower(x)) <= 2 THEN levenshtein(lower(name), lower(x)) ELSE -length(name) END, name LIMIT 3"
 )
@@ -752,11 +737,6 @@ def token_jaccard(spark, d):
     return rows.select("id", F.round(text.jaccard(F.split("cmd_raw", " "), F.split("b", " ")), 6).alias("j"))
 
 
-@query()
-def digest_collapse(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(episodes.digest(F.col("text"))).alias("digest"))
-
-
 @query(f"WITH {_EP} SELECT id FROM ep WHERE workspace = '{WS}' AND ts BETWEEN 1.4205e9 AND 1.4215e9 ORDER BY ts DESC NULLS LAST, id DESC LIMIT 50")
 def list_episodes(spark, d):
     return episodes.list_episodes(table(spark, d, "episodes"), WS, since=1.4205e9, until=1.4215e9).select("id")

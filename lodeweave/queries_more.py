@@ -209,6 +209,27 @@ def embed_documents(spark, d):
     return rows.select("doc_id", F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
+@query("WITH s AS (SELECT DISTINCT file_path, name, kind, start_line, end_line FROM symbols) SELECT c.file_path, c.name, c.start_line FROM s c WHERE kind = 'class' AND EXISTS (SELECT 1 FROM s m WHERE m.file_path = c.file_path AND m.start_line > c.start_line AND m.start_line <= c.end_line)")
+def containers_found(spark, d):
+    found = definitions.containers(definitions.definitions(_files(spark, d))).select(F.col("path").alias("file_path"), F.col("symbol_name").alias("name"), "start_line")
+    asked = table(spark, d, "symbols").filter("kind = 'class'").select("file_path", "name", "start_line").distinct()
+    return found.join(asked, ["file_path", "name", "start_line"], "left_semi")
+
+
+@query(
+    "WITH f AS (SELECT DISTINCT workspace, path, CASE WHEN starts_with(path, workspace || '/') THEN substr(path, length(workspace) + 2) ELSE path END AS b FROM source_files WHERE path IS NOT NULL), n AS (SELECT workspace, count(*) AS files FROM f GROUP BY 1),"
+    " c AS (SELECT workspace, language, count(DISTINCT chunk_id) AS n FROM chunks WHERE language IS NOT NULL GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY n DESC, language) AS r FROM c), g AS (SELECT workspace, string_agg(language, ',' ORDER BY r) AS languages FROM l WHERE r <= 10 GROUP BY 1),"
+    " e AS (SELECT workspace, string_split(b, '/')[1] AS d, count(*) AS n FROM f WHERE contains(b, '/') GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY n DESC, d) AS r FROM e), h AS (SELECT workspace, string_agg(d, ',' ORDER BY r) AS directories FROM t WHERE r <= 10 GROUP BY 1) SELECT workspace, files, languages, directories FROM n LEFT JOIN g USING (workspace) LEFT JOIN h USING (workspace)"
+)
+def codebase_maps(spark, d):
+    return catalog.codebase_map(_files(spark, d).filter("path is not null"), table(spark, d, "chunks")).select("workspace", "files", "languages", "directories")
+
+
+@query()
+def calls_found(spark, d):
+    return definitions.calls(_files(spark, d))
+
+
 @query()
 def chunk_files(spark, d):
     return definitions.chunk_files(_files(spark, d)).select("chunk_id", "language", "node_type", "symbol_name", F.md5("content").alias("content"))
@@ -445,6 +466,16 @@ def lines_collapsed(spark, d):
     return _docs(spark, d).filter("text is not null").select("doc_id", F.md5(episodes.collapse_lines(F.col("text"))).alias("collapsed"))
 
 
+@query(
+    "WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS x, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS i FROM documents WHERE text IS NOT NULL), b AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS n FROM l), g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b),"
+    " r AS (SELECT doc_id, g, x || CASE WHEN count(*) > 1 THEN ' [x' || count(*) || ']' ELSE '' END AS t FROM g GROUP BY doc_id, g, x), f AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY g) AS f, list(t ORDER BY g) AS k, count(*) AS n FROM r GROUP BY doc_id),"
+    " s AS (SELECT *, CASE WHEN n > 40 THEN array_to_string(k[1:20], chr(10)) || chr(10) || '... [elided ' || (n - 40) || ' lines, sha256:' || sha256(array_to_string(k[21:n - 20], chr(10)))[:12] || '] ...' || chr(10) || array_to_string(k[n - 19:n], chr(10)) ELSE f END AS s FROM f)"
+    " SELECT d.doc_id, md5(CASE WHEN coalesce(d.text, '') = '' THEN '' WHEN length(f) <= 2000 THEN f WHEN length(s) <= 2000 THEN s ELSE left(s, 1000) || chr(10) || '...[truncated]...' || chr(10) || right(s, 1000) END) AS digest FROM documents d LEFT JOIN s USING (doc_id)"
+)
+def digest_collapse(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(episodes.digest(F.col("text"))).alias("digest"))
+
+
 @query(
     f"WITH {_EP}, w AS (SELECT DISTINCT unnest(regexp_split_to_array(cmd_raw, '\\s+')) AS w FROM ep WHERE cmd_raw IS NOT NULL) SELECT w AS word, CASE "
     + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{n}'" for n, p in commands.ARGUMENT_CLASSES)

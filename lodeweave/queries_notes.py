@@ -60,6 +60,14 @@ def locate_by_rank(spark, d):
     return graph.locate_ranked(table(spark, d, "symbols"), WS, "ra")
 
 
+@query(
+    f"WITH {_SY}, k AS (SELECT *, CASE WHEN name = 'ra' THEN 0 WHEN name ILIKE '%ra%' AND starts_with(file_path, '{WS}/core/') THEN 2 WHEN name ILIKE '%ra%' THEN 4 WHEN abs(length(name) - 2) <= 1 AND lower(name[1]) = 'r' AND levenshtein(lower(name), 'ra') <= 1 THEN 5 END AS step FROM s WHERE workspace = '{WS}'), b AS (SELECT * FROM k WHERE step = (SELECT min(step) FROM k))"
+    f" SELECT name, kind, file_path, start_line, CASE step WHEN 0 THEN 'exact' WHEN 2 THEN 'same_module' WHEN 4 THEN 'substring' ELSE 'fuzzy' END AS strategy FROM b ORDER BY CASE WHEN step = 5 THEN levenshtein(lower(name), 'ra') ELSE 0 END, {_RANK_KEYS.replace('depth, (owner IS NULL)::INT, ', '')} LIMIT 10"
+)
+def locate_cascade(spark, d):
+    return graph.locate_cascade(table(spark, d, "symbols"), WS, "ra", caller_file=f"{WS}/core/x.py").select("name", "kind", "file_path", "start_line", "strategy")
+
+
 _LIKE = "round(1 - levenshtein(lower(coalesce({0}, '')), 'snapshotkelor') / greatest(length(coalesce({0}, '')), 13), 6)"
 
 
@@ -409,6 +417,11 @@ def eviction_hints(spark, d):
     return advisor.hints(advisor.running_pressure(_calls(spark, d)))
 
 
+@query()
+def notes_delivered(spark, d):
+    return triggers.deliver(_notes(spark, d), _note_events(spark, d), _moments(spark, d))
+
+
 @query(f"WITH {_CALLS}, l AS (SELECT session_id, ck, max(seq) AS s FROM c WHERE ck IS NOT NULL GROUP BY ALL) SELECT session_id, ck AS chunk_key, row_number() OVER (PARTITION BY session_id ORDER BY s DESC, ck)::INT AS place FROM l QUALIFY place <= 5")
 def chunks_to_refetch(spark, d):
     return advisor.refetch_keys(_calls(spark, d))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions.vectors import embed
 from lodeweave.operators import advisor, catalog, definitions, editing, episodes, graph, memory, search, triggers
 from lodeweave.sources import files as sources
+from lodeweave.streaming import sessions
 
 PY = 'import os\n\nLIMIT: int = 3\n\n\n@dec\nclass A(B):\n    """def no(self): pass"""\n    def f(self, a=(1,\n        2)):\n        def g():\n            return "}"\n        return g\n\n    async def h(self):\n        pass\n\n# about k\ndef k(): return 1\n'
 JAVA = 'package a;\n/** class Not { */\npublic class A<T> extends B {\n  private static final String S = "void no() {";\n  @Override public <X> Map<String, List<X>> f(final int a,\n      String b) throws E {\n    if (a > 1) { return g(a); }\n  }\n  A(int x) { super(x); }\n  interface I { int m(); }\n}\n'
@@ -14,9 +15,13 @@ GO = 'package a\n\ntype T struct {\n\tA int\n}\n\n// F does.\nfunc (s *T) F(a in
 RS = "pub struct S { x: u8 }\n\nimpl<'a> D for S {\n    /// about f\n    pub fn f(&self) -> char { '}' }\n}\n\nfn g<T>(a: T) where T: D {\n    h(a)\n}\ntrait D { fn f(&self) -> char; }\n"
 
 
+C = "#include <a.h>\n/* int no() { */\ntypedef struct node {\n  int x;\n} node;\nstatic int f(const char *s, int (*cb)(int)) {\n  if (s) { return g(s[0]); }\n}\nclass A : public B {\n  A(int x) { y = x; }\n  int m() const { return h(y); }\n};\nint A::n(int a)\n{\n  return a;\n}\nint proto(int a);\n"
+
+
 @pytest.mark.parametrize(
     "language,source,expected",
     [
+        ("c", C, [("class", "node", None, 3, 5), ("function", "f", None, 6, 8), ("class", "A", None, 9, 12), ("method", "A", "A", 10, 10), ("method", "m", "A", 11, 11), ("method", "n", "A", 13, 16)]),
         ("python", PY, [("class", "A", None, 7, 16), ("method", "f", "A", 9, 13), ("method", "g", "A", 11, 12), ("method", "h", "A", 15, 16), ("function", "k", None, 19, 19)]),
         ("java", JAVA, [("class", "A", None, 3, 11), ("method", "f", "A", 5, 8), ("method", "A", "A", 9, 9), ("class", "I", "A", 10, 10)]),
         ("typescript", TS, [("class", "I", None, 1, 1), ("class", "C", None, 2, 7), ("method", "constructor", "C", 3, 3), ("method", "f", "C", 4, 6), ("function", "g", None, 8, 10), ("function", "h", None, 11, 11), ("class", "E", None, 12, 12)]),
@@ -33,6 +38,33 @@ def test_definitions_of_languages(language, source, expected):
         definitions.found_definitions(source[:cut], language)
 
 
+def test_calls_go_to_the_innermost_function():
+    assert definitions.found_calls(C, "c") == [("f", 6, "g"), ("m", 11, "h")]
+    assert definitions.found_calls(JAVA, "java") == [("f", 5, "g")]
+    assert definitions.found_calls("def f():\n    g(h(1))\n    def k(): m()\n    x.y(z)\nouter()\n", "python") == [("f", 1, "g"), ("f", 1, "h"), ("k", 3, "m"), ("f", 1, "y")]
+
+
+def test_notes_are_delivered_once_a_session(spark):
+    events = spark.createDataFrame([], "id long, note_id long, event string, ts double, reason string, actor string")
+    notes = spark.createDataFrame([note(1, kind="directive"), note(2, kind="directive", priority="high"), note(3)], NOTE)
+    m = spark.createDataFrame([(f"m{i}", "/w", "session-start", None, None, s, "main", float(i)) for i, s in enumerate(["s", "s", "t", None])], "moment_id string, workspace string, event string, file_path string, command_verb string, session_id string, branch string, ts double")
+    got = {(r.session_id, r.note_id, r.place, r.tier) for r in triggers.deliver(notes, events, m).collect()}
+    assert got == {(s, n, p, "full") for s in "st" for n, p in ((2, 1), (1, 2))}
+
+
+def test_stream_ledgers_forget_silent_sessions(spark, tmp_path):
+    fire = "session_id string, seq long, ts double, event string, note_id long, tokens int, semantic boolean"
+    rows = [("s", 1, 0.0, "e", 1, 10, False), ("s", 2, 1.0, "e", 1, 10, False), ("t", 3, 1e6, "e", 1, 10, False), ("t", 4, 1e6 + 1, "e", 2, 10, False)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], fire).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(fire).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = sessions.stream_ledger(stream, idle_seconds=60).writeStream.format("memory").queryName("ledger_out").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.session_id, r.note_id) for r in spark.table("ledger_out").collect())
+    assert got == [("s", 1), ("t", 1), ("t", 2)]
+
+
 def test_chunks_of_files(spark):
     rows = [("/w/a.py", PY), ("/w/a.java", JAVA), ("/w/b.md", "intro of some length\n# A\nwords enough to stand as a section\n"), ("/w/c.txt", "\n".join(f"a line of text {i}" for i in range(300))), ("/w/d.go", ""), ("/w/e.rs", None), ("/w/f.py", "x = f(a, b)\ny = g(x, b)\nz = h(x, y)\n")]
     files = spark.createDataFrame([(*r, 1) for r in rows], "path string, text string, language int")
