@@ -119,7 +119,6 @@ _BARE = re.compile(r"[^\s\"'`;,<>()]+")
 _ARG = re.compile(r"\w*[\"'][ \t]*,[ \t]*[\"'](?P<v>[^\"'\n]+)[\"']")
 _OPTION = re.compile(r"(?:=|[ \t]+)[\"']?(?P<v>[^\s\"']+)")
 _PROSE = re.compile(r"[ \t]+(?P<v>[^\s\"']+)")
-_USER_SLASH = re.compile(r"[\w.@\-]+[ \t]*/[ \t]*$")
 _HEADER_VALUE = re.compile(r"[\w\-]*:[ \t]*(?:[A-Z][a-z]+[ \t]+)?(?P<v>[^\s\"']+)(?=[\"'])")
 _TOKEN_VALUE = re.compile(r"[ \t]+(?P<v>[^\s\"'`]+)(?=[\"'`])")
 _INI_VALUE = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}[ \t]*$", re.M)
@@ -188,23 +187,46 @@ def _armor_rest(text: str, at: int) -> tuple[int, int] | None:
     return begin, m.end()
 
 
+def _skipped(text: str, at: int) -> int:
+    """The place behind the last character before `at` that is neither blank nor tab."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    return at
+
+
+def _after_user(text: str, at: int) -> bool:
+    """Whether a user and a slash stand before `at`."""
+    i = _skipped(text, at)
+    if text[i - 1 : i] != "/":
+        return False
+    user = _skipped(text, i - 1)
+    return user > 0 and (text[user - 1].isalnum() or text[user - 1] in "_.@-")
+
+
+def _in_quoted_word(text: str, at: int) -> bool:
+    """Whether the word that `at` stands in begins behind a quote."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+        at -= 1
+    return text[at - 1 : at] in ("'", '"')
+
+
 def _named(text: str, at: int, end: int) -> tuple[int, int] | None:
     """A literal or value given to a name that ends in or holds text[at:end]."""
     if text[max(0, at - 2) : at] == "--" or text[at - 1 : at] == "-" and text[at - 2 : at - 1].isspace():
         m = _OPTION.match(text, end)
         if m and not m["v"].startswith("-") and is_secret(m["v"]):
             return m.span("v")
-    if _USER_SLASH.search(text, max(0, at - 80), at):
+    if _after_user(text, at):
         m = _PROSE.match(text, end)
         if m and is_secret(m["v"]):
             return m.span("v")
     m = _ARG.match(text, end)
     if m and is_secret(m["v"]) and not _NO_SECRET_NAME.search(m.group(0).partition('"')[0]):
         return m.span("v")
-    if text[at - 1 : at] in ("'", '"') or re.search(r"[\"'][\w\-]*$", text[max(0, at - 40) : at]):  # a header of a request, quoted
+    if text[at - 1 : at] in ("'", '"') or _in_quoted_word(text, at):  # a header of a request, quoted
         if (m := _HEADER_VALUE.match(text, end)) and is_secret(m["v"]):
             return m.span("v")
-    if text[at:end].lower() == "token" and (text[at - 1 : at] in ("'", '"', "`") or re.search(r"[Aa]uthorization:[ \t]*$", text[max(0, at - 20) : at])):
+    if text[at:end].lower() == "token" and (text[at - 1 : at] in ("'", '"', "`") or text.endswith("uthorization:", 0, _skipped(text, at))):
         if (m := _TOKEN_VALUE.match(text, end)) and is_secret(m["v"]):
             return m.span("v")
     m = _ASSIGN.match(text, end)
