@@ -18,7 +18,6 @@ LEXICAL_WEIGHT = 0.30
 LIST_DEPTH, FETCH_DEPTH = 60, 200
 LEAST_SHOWN, LEAST_SURE, SURE = 0.02, 0.30, 0.70
 SAME_BODY = 0.75
-SEEN = 2000  # characters of a result that are reranked
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "how", "what", "where", "which", "when", "does", "into", "not", "all", "use", "used"]
 
 
@@ -179,8 +178,8 @@ def normalised_scores(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn(score, F.when(outside, 1 / (1 + F.exp(-F.col(score)))).otherwise(F.col(score)))
 
 
-def rerank(results: DataFrame, query: str, scorer=None, content: str = "content") -> DataFrame:
-    """results with ce_score from scorer(query, Series of texts) -> Series, in Arrow batches; NULL without a scorer, which leaves the order as it was."""
+def rerank(results: DataFrame, query: str, scorer=None, content: str = "content", seen: int | None = None) -> DataFrame:
+    """results with ce_score from scorer(query, Series of texts) -> Series, in Arrow batches; NULL without a scorer, which leaves the order as it was. seen: characters of a content that are scored; without it the whole."""
     if scorer is None:
         return results.withColumn("ce_score", F.lit(None).cast("double"))
 
@@ -188,7 +187,7 @@ def rerank(results: DataFrame, query: str, scorer=None, content: str = "content"
     def score(texts: pd.Series) -> pd.Series:
         return scorer(query, texts)
 
-    return results.withColumn("ce_score", score(F.substring(F.col(content), 1, SEEN)))
+    return results.withColumn("ce_score", score(F.col(content) if seen is None else F.substring(F.col(content), 1, seen)))
 
 
 def search(chunks: DataFrame, query: str, k: int = 10, language: str | None = None, importance: DataFrame | None = None, dense_weight: float = 1 - LEXICAL_WEIGHT, scorer=None, vectors: DataFrame | None = None, purpose: DataFrame | None = None, names: DataFrame | None = None, asked=None) -> DataFrame:

@@ -138,12 +138,12 @@ def vector_by_ids(spark, d):
 
 
 @query(
-    f"WITH v AS (SELECT vec_id, greatest(0, list_cosine_similarity(embedding::DOUBLE[], {_VEC0}::DOUBLE[])) AS a, label FROM embeddings), w AS (SELECT vec_id, greatest(0, list_cosine_similarity(list_reverse(embedding)::DOUBLE[], {_VEC0}::DOUBLE[])) AS b FROM embeddings WHERE label % 2 = 0)"
+    f"WITH v AS (SELECT vec_id, greatest(0, list_cosine_similarity(embedding::DOUBLE[], {_VEC0}::DOUBLE[])) AS a, label FROM embeddings), w AS (SELECT vec_id, greatest(0, list_cosine_similarity(list_reverse(embedding)::DOUBLE[], {_VEC0}::DOUBLE[])) AS b FROM embeddings)"
     " SELECT vec_id, round(greatest(a, coalesce(b, 0)), 6) AS dense, round(coalesce(b, 0), 6) AS purpose FROM v LEFT JOIN w USING (vec_id)"
 )
 def dual_vector_max_merge(spark, d):
     e = table(spark, d, "embeddings")
-    purpose = e.filter("label % 2 = 0").withColumn("embedding", F.reverse("embedding"))
+    purpose = e.withColumn("embedding", F.reverse("embedding"))
     both = search.merge_dense(search.dense(e, _vec0(spark, d)), search.dense(purpose, _vec0(spark, d)), "vec_id")
     return _round(both, "dense", "purpose")
 

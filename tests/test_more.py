@@ -161,6 +161,13 @@ def test_search_takes_stored_vectors(spark):
     assert search.search(chunks, "snapshot region handler", vectors=stored, purpose=stored, names=names).count() == len(plain)
 
 
+def test_spaces_are_merged_where_one_side_is_missing(spark):
+    a = spark.createDataFrame([("x", 0.2), ("y", 0.9)], "k string, dense double")
+    b = spark.createDataFrame([("y", 0.5), ("z", 0.4)], "k string, dense double")
+    assert {tuple(r) for r in search.merge_dense(a, b, "k").collect()} == {("x", 0.2, 0.0), ("y", 0.9, 0.5), ("z", 0.4, 0.4)}
+    assert {(r.k, round(r.dense, 6)) for r in search.merge_dense(a, b, "k", 0.5).collect()} == {("x", 0.1), ("y", 0.7), ("z", 0.2)}
+
+
 def test_manifests_survive_a_broken_write(spark, tmp_path):
     folder = str(tmp_path / "m")
     a = spark.createDataFrame([("a", 1.0)], "path string, mtime double")
