@@ -301,7 +301,7 @@ def test_code_questions_reads_whole_texts(spark, tmp_path):
 
     rows = [(1, "hello\nwhere is parse_file() defined"), (2, "parse_file()\nexplain why, thanks, in general"), (3, "explain"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.needs_tool, r.confidence) for r in queries.code_questions(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.needs_tool, r.confidence) for r in queries.queries()["code_questions"](spark, str(tmp_path)).collect()}
     assert got == {1: (True, 0.5), 2: (False, 0.6), 3: (False, 1.0)}
 
 
