@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,6 +84,9 @@ ARC = "session_id string, failure_ids array<long>, success_id long, confidence s
 _NEEDED = ["id", "session_id", "ts", "cwd", "tool", "cmd_raw", "outcome", "termination", "markers", "env_delta_names", "file_path"]
 
 
+_form = functools.lru_cache(1 << 14)(normal_form)
+
+
 def differences(a: dict, env_a: list, b: dict, env_b: list) -> list[tuple[str, str, str]]:
     """(axis, old, new) in which two commands (normal forms and names of their environment) differ."""
     sides = [("verb", a["verb"], b["verb"]), ("flag", sorted(set(a["flags"])), sorted(set(b["flags"]))), ("arg", list(a["args"]), list(b["args"])), ("env", sorted(set(env_a)), sorted(set(env_b)))]
@@ -124,7 +128,7 @@ class _Session:
             return None
         if e["outcome"] not in ("failure", "soft_failure", "success") or e["termination"] in ("signal", "cancelled"):
             return None
-        n = normal_form(e["cmd_raw"])
+        n = _form(e["cmd_raw"])
         if not n["verb"]:
             return None
         env = sorted(set(e["env_delta_names"]))
@@ -182,7 +186,8 @@ class _Session:
 def observe_rows(session: _Session, rows: pd.DataFrame) -> list[tuple]:
     """Arcs of a session's episodes; rows are taken in the order they have."""
     out = []
-    for r in rows.to_dict("records"):
+    for values in zip(*(rows[c].tolist() for c in _NEEDED)):
+        r = dict(zip(_NEEDED, values))
         r["ts"] = None if pd.isna(r["ts"]) else float(r["ts"])
         for name in ("cwd", "cmd_raw", "file_path", "outcome", "termination"):
             r[name] = r[name] if isinstance(r[name], str) else None
