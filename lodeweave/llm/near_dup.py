@@ -22,7 +22,7 @@ from lodeweave.plans.runtime import cut, release, shuffle_width, small
 
 #: Words are ordered by a count sketch of this fixed size (as broadcast to each executor: 4 bytes a cell).
 SKETCH_CELLS = 1 << 18
-SIGNATURE_WORDS = 2  # 64-bit words of a bitmap signature: two let 1.7 times the links through on notes of 40 words, four hardly more than the links
+SIGNATURE_WORDS = 4  # 64-bit words of a bitmap signature: on notes of 40 words two would let 1.7 times the links through, four hardly more than the links
 BAND = 4  # a band reaches over so many steps of the threshold: of four sets about one is a guest, too
 TILE_ROWS = 2000  # a larger tile is compared in blocks of this size, each pair of blocks in its own task
 
