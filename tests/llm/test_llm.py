@@ -173,6 +173,32 @@ def test_edit_distance_is_least():
     assert chart.parse(g, "C(ABA)(AB)") == ([(9, 1), (6, 1)], 0)
 
 
+def _brackets_and_lists():
+    return chart.Grammar({"a": "A", "b": "B", "c": "C"}, {}, {"(": {"x": "( 'a' % 'b' )?", "y": "'c' (x|y)"}, "[": {"z": "(x)* 'b'"}, "{": {}, "top": {"t": "( 'c' (x) | 'a' (y) [z] )*"}})
+
+
+def test_repairs_are_least_over_all_ways_to_match_brackets():
+    g, rng = _brackets_and_lists(), random.Random(5)
+
+    def least(s):  # by trying all edits
+        level, cost = {s}, 0
+        while cost < 3 and not any(chart.valid(g, x) for x in level):
+            places = [(x, i) for x in level for i in range(len(x) + 1)]
+            level = set() if cost == 2 else {x[:i] + c + x[i + k :] for x, i in places for c in ["", *"ABC()[]"] for k in (0, 1)}
+            cost += 1
+        return cost
+
+    for _ in range(40):
+        s = "".join(rng.choice("ABC()[]") for _ in range(rng.randint(0, 4)))
+        assert min(3, sum(n for _, n in chart.parse(g, s)[0])) == least(s), s
+    for s in ("C(A)A(C(ABA))[(A)B]", "A(C(C()))[B]C()"):
+        for _ in range(25):
+            i, c, k = rng.randrange(len(s)), rng.choice(["", *"ABC()[]"]), rng.randint(0, 1)
+            assert sum(n for _, n in chart.parse(g, s[:i] + c + s[i + k :])[0]) <= 1
+    # one bracket too many, not seven changes from the left; more than twelve edits in one cell
+    assert parse.check_file("a.json", b'{"a": [[[1}]]]}', costs=True)[1] == 1 and parse.check_file("a.json", b"[1" + b" 1" * 40 + b"]", costs=True)[1] == 20
+
+
 def test_current_version_counts(spark):
     rows = [("/w", "/w/a.json", 1.0, b"{}", 1), ("/w", "/w/a.json", 2.0, b"{", 1), ("/w", "/w/a.json", 2.0, b"{", 1), ("/w", "/w/b.json", None, b"{", 1), ("/w", "/w/b.json", 0.0, None, 1), ("/w", None, 1.0, b"{", 1)]
     df = spark.createDataFrame(rows, "workspace string, path string, mtime double, content binary, edits int")
